@@ -70,3 +70,8 @@ def strip_blanks(text: Column) -> Column:
 def hex_sha256(text: Column) -> Column:
     """Lower-case hex SHA-256 of the UTF-8 bytes."""
     return F.sha2(text.cast("binary"), 256)
+
+
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))

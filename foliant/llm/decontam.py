@@ -51,13 +51,12 @@ def seeds(items: DataFrame, names: dict[str, str]) -> DataFrame:
     """A row for each masked window: its place and hash, beside the id and all word hashes of its text."""
     hashed = items.select(F.col(names["id"]).alias(names["as"]), word_hashes(F.col(names["text"])).alias(names["hashes"]))
     windows = hashed.withColumn("windows", masked_windows(F.col(names["hashes"])))
+    # Outer, as for an inner one Spark would compute all windows once more, in a filter on their number.
+    exploded = windows.select(names["as"], names["hashes"], F.posexplode_outer("windows").alias("at", "seed"))
     count = F.size(names["hashes"]) - F.lit(SPAN - 1)
-    return windows.where(count > 0).select(
-        names["as"],
-        names["hashes"],
-        count.alias("n"),
-        F.posexplode("windows").alias("at", "seed"),
-    ).select(names["as"], names["hashes"], F.expr("at % n").cast("int").alias(names["at"]), "seed")
+    return exploded.where("seed IS NOT NULL").select(
+        names["as"], names["hashes"], (F.col("at") % count).cast("int").alias(names["at"]), "seed"
+    )
 
 
 def _best_segment(doc: Column, item: Column) -> Column:

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import hex_sha256, materialise
+from foliant.llm.common import hex_sha256, let, materialise
 
 KINDS = ("email", "ip", "card", "phone", "term")
 
@@ -45,27 +45,27 @@ WORD = r"\p{L}{3,}"
 BROADCAST_ROWS = 100_000
 
 SPAN = "struct<start: int, rank: int, end: int>"
+MATCH = "struct<start: int, rank: int, end: int, value: string>"
 
 
 def _positions(text: Column, pattern: str, rank: int) -> Column:
     """Structs (start, rank, end, value) of the matches of ``pattern``, in order."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
-    starts = F.aggregate(
-        F.arrays_zip(found.alias("found"), F.slice(gaps, 1, F.size(found)).alias("gaps")),
-        zero,
-        lambda s, x: F.struct(
-            (s["at"] + F.length(x["gaps"]) + F.length(x["found"])).alias("at"),
-            F.array_append(s["starts"], s["at"] + F.length(x["gaps"])).alias("starts"),
-        ),
-        lambda s: s["starts"],
-    )
-    return F.zip_with(
-        starts,
-        found,
-        lambda start, value: F.struct(
-            start.alias("start"), F.lit(rank).alias("rank"), (start + F.length(value)).alias("end"), value.alias("value")
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{MATCH}>").alias("out"))
+
+    def place(found: Column, gaps: Column) -> Column:
+        def step(s: Column, i: Column) -> Column:
+            start, value = s["at"] + F.length(F.get(gaps, i)), F.get(found, i)
+            match = F.struct(
+                start.alias("start"), F.lit(rank).alias("rank"), (start + F.length(value)).alias("end"), value.alias("value")
+            )
+            return F.struct((start + F.length(value)).alias("at"), F.array_append(s["out"], match).alias("out"))
+
+        return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), zero, step, lambda s: s["out"])
+
+    return let(
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
+        lambda found: F.when(F.size(found) == 0, F.array().cast(f"array<{MATCH}>")).otherwise(
+            let(F.split(text, pattern, -1), lambda gaps: place(found, gaps))
         ),
     )
 
@@ -76,23 +76,17 @@ def _digits(value: Column) -> Column:
 
 def _luhn(digits: Column) -> Column:
     n = F.length(digits)
-    doubled = lambda d: d * 2 - F.when(d > 4, F.lit(9)).otherwise(F.lit(0))
-    total = F.aggregate(
-        F.sequence(F.lit(1), n),
-        F.lit(0),
-        lambda acc, i: acc
-        + F.when(i % 2 == 0, doubled(F.substring(digits, n - i + 1, F.lit(1)).cast("int"))).otherwise(
-            F.substring(digits, n - i + 1, F.lit(1)).cast("int")
-        ),
-    )
-    return total % 10 == 0
+    digit = lambda i: F.substring(digits, n - i + 1, F.lit(1)).cast("int")
+    doubled = lambda i: digit(i) * 2 - F.when(digit(i) > 4, F.lit(9)).otherwise(F.lit(0))
+    step = lambda acc, i: acc + F.when(i % 2 == 0, doubled(i)).otherwise(digit(i))
+    return F.aggregate(F.sequence(F.lit(1), n), F.lit(0), step) % 10 == 0
 
 
 def _valid(kind: str, value: Column) -> Column:
     if kind == "ip":
         return value.rlike(r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(?:\.|$)){4}$")
     if kind == "card":
-        return _luhn(_digits(value))
+        return let(_digits(value), _luhn)
     if kind == "phone":
         return F.length(_digits(value)).between(10, 15)
     return F.lit(True)
@@ -103,101 +97,80 @@ def base_spans(text: Column) -> dict[str, Column]:
     maybe = {
         "email": F.contains(text, F.lit("@")),
         "ip": text.rlike(r"[0-9]\.[0-9]"),
-        "card": text.rlike(r"[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9]"),
+        "card": text.rlike(r"(?:[0-9][ -]?){13}[0-9]"),
         "phone": F.contains(text, F.lit("+")),
     }
-    empty = F.array().cast("array<struct<start: int, rank: int, end: int, value: string>>")
-    return {
-        kind: F.when(maybe[kind], F.filter(_positions(text, PATTERNS[kind], rank), lambda s, k=kind: _valid(k, s["value"]))).otherwise(empty)
-        for rank, kind in enumerate(KINDS[:4])
-    }
+    empty = F.array().cast(f"array<{MATCH}>")
+
+    def spans(rank: int, kind: str) -> Column:
+        found = F.filter(_positions(text, PATTERNS[kind], rank), lambda s: _valid(kind, s["value"]))
+        return F.when(maybe[kind], found).otherwise(empty)
+
+    return {kind: spans(rank, kind) for rank, kind in enumerate(KINDS[:4])}
+
+
+def _kind(rank: Column) -> Column:
+    return F.get(F.array(*map(F.lit, KINDS)), rank)
 
 
 def _contexts(found: DataFrame) -> DataFrame:
-    """(digest, entity, word, start, end, context) of the words beside each base span, one row a word."""
-    span = found.where(F.size("base") > 0).select("digest", "text", F.explode("base").alias("s"))
+    """(digest, entity, side, words) of both sides of each base span; a word is (word, start, end)."""
+    # Outer explodes throughout: for inner ones Spark would find all spans once more, in a filter on their number.
+    span = found.select("digest", "text", F.explode_outer("base").alias("s")).where("s IS NOT NULL")
     left_from = F.greatest(F.lit(0), F.col("s.start") - CONTEXT)
-    sides = span.select(
-        "digest",
-        F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), F.col("s.rank") + 1), F.lower("s.value")).alias("entity"),
-        F.explode(
-            F.array(
-                F.struct(
-                    left_from.alias("offset"),
-                    F.substring(F.col("text"), left_from + 1, F.col("s.start") - left_from).alias("side"),
-                    (left_from > 0).alias("cut_left"),
-                    F.lit(False).alias("cut_right"),
-                ),
-                F.struct(
-                    F.col("s.end").alias("offset"),
-                    F.substring(F.col("text"), F.col("s.end") + 1, F.lit(CONTEXT)).alias("side"),
-                    F.lit(False).alias("cut_left"),
-                    (F.length("text") > F.col("s.end") + CONTEXT).alias("cut_right"),
-                ),
-            )
-        ).alias("c"),
+    left = F.struct(
+        left_from.alias("offset"),
+        F.substring(F.col("text"), left_from + 1, F.col("s.start") - left_from).alias("side"),
+        (left_from > 0).alias("cut_left"),
+        F.lit(False).alias("cut_right"),
     )
-    size = F.length("c.side")
-    words = sides.select(
+    right = F.struct(
+        F.col("s.end").alias("offset"),
+        F.substring(F.col("text"), F.col("s.end") + 1, F.lit(CONTEXT)).alias("side"),
+        F.lit(False).alias("cut_left"),
+        (F.length("text") > F.col("s.end") + CONTEXT).alias("cut_right"),
+    )
+    sides = span.select(
         "digest",
-        "entity",
-        F.col("c.offset").alias("offset"),
-        F.xxhash64("c.side").alias("context"),
-        "c.cut_left",
-        "c.cut_right",
-        size.alias("size"),
-        F.explode(_positions(F.col("c.side"), WORD, 4)).alias("w"),
+        F.concat_ws(":", _kind(F.col("s.rank")), F.lower("s.value")).alias("entity"),
+        F.explode_outer(F.array(left, right)).alias("c"),
     )
     # A word at the far end of a context may be a part of one.
-    whole = ~(F.col("cut_left") & (F.col("w.start") == 0)) & ~(F.col("cut_right") & (F.col("w.end") == F.col("size")))
-    return words.where(whole).select(
-        "digest",
-        "entity",
-        "context",
-        F.lower("w.value").alias("word"),
-        (F.col("offset") + F.col("w.start")).alias("start"),
-        (F.col("offset") + F.col("w.end")).alias("end"),
+    whole = lambda w: ~(
+        (F.col("c.cut_left") & (w["start"] == 0)) | (F.col("c.cut_right") & (w["end"] == F.length("c.side")))
+    )
+    words = F.transform(
+        F.filter(_positions(F.col("c.side"), WORD, 4), whole),
+        lambda w: F.struct(
+            F.lower(w["value"]).alias("word"),
+            (F.col("c.offset") + w["start"]).alias("start"),
+            (F.col("c.offset") + w["end"]).alias("end"),
+        ),
     )
+    return sides.select("digest", "entity", F.xxhash64("c.side").alias("context"), words.alias("words"))
 
 
-def disclosing_terms(docs: DataFrame, contexts: DataFrame, found: DataFrame) -> DataFrame:
+def disclosing_terms(docs: DataFrame, contexts: DataFrame) -> DataFrame:
     """(entity, word, pmi, ic) of the pairs over the disclosure threshold; ``docs`` has a column text."""
+    seen = contexts.select("entity", "context", "digest", F.explode("words.word").alias("word"))
     together = materialise(
-        contexts.select("entity", "word", "context", "digest")
-        .groupBy("entity", "word")
+        seen.groupBy("entity", "word")
         .agg(F.countDistinct("context").alias("contexts"), F.countDistinct("digest").alias("n_both"))
         .where(F.col("contexts") >= SUPPORT),
         "pii-pairs",
     )
     # Document frequencies are over different texts: a copied document is one witness.
+    digest = F.unhex(F.sha2(F.col("text").cast("binary"), 256))
     wanted = together.select("word").distinct()
-    words = docs.select(
-        F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)).alias("digest"),
-        F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("word"),
-    )
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
+    in_text = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))
+    words = docs.select(digest.alias("digest"), F.explode_outer(in_text).alias("word"))
     of_word = (
-        words.join(wanted, "word", "left_semi")
-        .groupBy("word", "digest")
-        .agg(F.lit(1).alias("one"))
-        .groupBy("word")
-        .agg(F.count("*").alias("n_word"))
-    )
-    entities = found.where(F.size("base") > 0).select(
-        "digest",
-        F.explode(
-            F.array_distinct(
-                F.transform("base", lambda s: F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), s["rank"] + 1), F.lower(s["value"])))
-            )
-        ).alias("entity"),
-    )
-    of_entity = (
-        entities.groupBy("entity", "digest").agg(F.lit(1).alias("one")).groupBy("entity").agg(F.count("*").alias("n_entity"))
+        words.join(wanted, "word", "left_semi").distinct().groupBy("word").agg(F.count("*").alias("n_word"))
     )
-    n = docs.select(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256).alias("d")).agg(
-        F.countDistinct("d").alias("n")
-    ).first()["n"]
+    of_entity = contexts.select("entity", "digest").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+    n = docs.select(digest.alias("d")).distinct().count()
     total = F.lit(float(max(n, 1)))
     pmi = F.log(F.col("n_both") * total / (F.col("n_entity") * F.col("n_word")))
     ic = F.log(total / F.col("n_entity"))
@@ -212,44 +185,44 @@ def disclosing_terms(docs: DataFrame, contexts: DataFrame, found: DataFrame) ->
 def _sanitised(text: Column, spans: Column) -> Column:
     """``text`` with each span replaced by the tag of its kind."""
     zero = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    tags = F.array(*[F.lit(f"[{kind.upper()}]") for kind in KINDS])
+    tag = lambda rank: F.concat(F.lit("["), F.upper(_kind(rank)), F.lit("]"))
 
     def step(s: Column, x: Column) -> Column:
-        fresh = F.concat(
-            s["out"], F.substring(text, s["at"] + 1, x["start"] - s["at"]), F.element_at(tags, x["rank"] + 1)
-        )
+        fresh = F.concat(s["out"], F.substring(text, s["at"] + 1, x["start"] - s["at"]), tag(x["rank"]))
         return F.struct(
             F.when(x["start"] >= s["at"], fresh).otherwise(s["out"]).alias("out"), F.greatest(s["at"], x["end"]).alias("at")
         )
 
-    return F.aggregate(spans, zero, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+    whole = F.aggregate(spans, zero, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+    return F.when(F.size(spans) == 0, text).otherwise(whole)
 
 
 def _coded(spans: Column) -> Column:
-    name = lambda s: F.element_at(F.array(*map(F.lit, KINDS)), s["rank"] + 1)
-    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", name(s), s["start"], s["end"])), ",")
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", _kind(s["rank"]), s["start"], s["end"])), ",")
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: doc_id, arrays of base and all spans, counts by kind, and the clean text."""
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    # The spans are what is found here once; the texts are read again where they are needed.
-    bare = texts.withColumns(base_spans(F.col("text")))
     merged = F.array_sort(F.concat("email", "ip", "card", "phone"))
     counts = [F.size(kind).cast("long").alias(f"n_{kind}") for kind in KINDS[:4]]
-    found = bare.select("doc_id", "text", *counts, merged.alias("base")).withColumn(
-        "digest", F.when(F.size("base") > 0, F.sha2(F.col("text").cast("binary"), 256))
+    found = (
+        texts.withColumns(base_spans(F.col("text")))
+        .select("doc_id", "text", *counts, merged.alias("base"))
+        .withColumn("digest", F.when(F.size("base") > 0, F.sha2(F.col("text").cast("binary"), 256)))
     )
     contexts = materialise(_contexts(found), "pii-contexts")
-    disclosing = materialise(disclosing_terms(texts, contexts, found), "pii-terms").select("entity", "word")
+    disclosing = materialise(disclosing_terms(texts, contexts), "pii-terms").select("entity", "word")
     if disclosing.count() <= BROADCAST_ROWS:
         disclosing = F.broadcast(disclosing)
     extra = materialise(
-        contexts.join(disclosing, ["entity", "word"])
+        contexts.select("digest", "entity", F.explode("words").alias("w"))
+        .select("digest", "entity", "w.word", F.struct("w.start", F.lit(4).alias("rank"), "w.end").alias("span"))
+        .join(disclosing, ["entity", "word"])
         .groupBy("digest")
-        .agg(F.collect_set(F.struct("start", F.lit(4).alias("rank"), "end")).alias("terms")),
+        .agg(F.collect_set("span").alias("terms")),
         "pii-spans",
-    )
+    ).withColumnRenamed("digest", "of")
     if extra.count() <= BROADCAST_ROWS:
         extra = F.broadcast(extra)
     # Texts without personal data have no digest: give each a key of its own, which meets nothing.
@@ -258,8 +231,14 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     none = F.array().cast(f"array<{SPAN}>")
     return (
         found.withColumn("key", key)
-        .join(extra.withColumnRenamed("digest", "of"), F.col("key") == F.col("of"), "left")
-        .select("doc_id", "text", *[f"n_{kind}" for kind in KINDS[:4]], plain.alias("base"), F.coalesce("terms", none).alias("terms"))
+        .join(extra, F.col("key") == F.col("of"), "left")
+        .select(
+            "doc_id",
+            "text",
+            *[f"n_{kind}" for kind in KINDS[:4]],
+            plain.alias("base"),
+            F.coalesce("terms", none).alias("terms"),
+        )
         .withColumn("spans", F.array_sort(F.concat("base", "terms")))
         .select(
             "doc_id",
