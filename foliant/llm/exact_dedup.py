@@ -49,7 +49,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
     split = (
         rows.withColumn("digit", digit)
-        .join(groups, ["bytes", "digit"], "left")
+        # Always a sort-merge join: the list of groups grows with the corpus, and a large group is split.
+        .join(groups.hint("merge"), ["bytes", "digit"], "left")
         .select(
             "doc_id",
             "text_sha256",
@@ -87,7 +88,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             "radix-groups",
         )
         level = materialise(
-            keyed.join(counted, ["group", "digit"]).select(
+            keyed.join(counted.hint("merge"), ["group", "digit"]).select(
                 "doc_id",
                 "text_sha256",
                 "bytes",
