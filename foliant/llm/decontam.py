@@ -7,9 +7,8 @@ and a document; along it the two are compared word by word, and the best segment
 -2, is the overlap. A document is contaminated by an item if that segment has ``MIN_MATCHES`` matching words, or, for
 items so short, ``MIN_SHARE`` of the item's words.
 
-The aligned stretch of the document is cut out where the hit is found, so documents are read once and neither their texts
-nor their hashes are shuffled: only hits are. A passage in a third of all documents makes hits in proportion to its occurrences,
-which are combined in each task.
+Only alignments are shuffled, combined in each task; documents that have one are read again for their words. A passage in a
+third of all documents makes alignments in proportion to its occurrences.
 
 Cases: words are runs of letters and digits, lower-cased, so case, punctuation and white space don't count. A null or
 empty text has no words. Texts and items of fewer words than a mask is long, ``SPAN``, have no window and aren't judged.
@@ -22,13 +21,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliant.llm.common import materialise
+
 #: The positions of a window that count. Two masks of weight 8 and span 11, sharing few offsets.
 MASKS = ((0, 1, 2, 4, 5, 7, 8, 10), (0, 2, 3, 5, 6, 8, 9, 10))
 SPAN = 11
 MIN_MATCHES = 13
 MIN_SHARE = 0.7
-#: Seed tables up to this many rows (some 500 bytes each) are broadcast; larger ones are shuffled.
-BROADCAST_SEEDS = 60_000
+#: Seed tables and lists of documents with hits up to this many rows are broadcast; larger ones are shuffled.
+BROADCAST_SEEDS = 500_000
+BROADCAST_HITS = 1_000_000
 
 
 def word_hashes(text: Column) -> Column:
@@ -47,16 +49,14 @@ def masked_windows(hashes: Column) -> Column:
     return F.concat(*[under(k, mask) for k, mask in enumerate(MASKS)])
 
 
-def seeds(items: DataFrame, names: dict[str, str]) -> DataFrame:
-    """A row for each masked window: its place and hash, beside the id and all word hashes of its text."""
-    hashed = items.select(F.col(names["id"]).alias(names["as"]), word_hashes(F.col(names["text"])).alias(names["hashes"]))
-    windows = hashed.withColumn("windows", masked_windows(F.col(names["hashes"])))
-    # Outer, as for an inner one Spark would compute all windows once more, in a filter on their number.
-    exploded = windows.select(names["as"], names["hashes"], F.posexplode_outer("windows").alias("at", "seed"))
-    count = F.size(names["hashes"]) - F.lit(SPAN - 1)
-    return exploded.where("seed IS NOT NULL").select(
-        names["as"], names["hashes"], (F.col("at") % count).cast("int").alias(names["at"]), "seed"
-    )
+def seeds(items: DataFrame, id_col: str, text_col: str, out: str) -> DataFrame:
+    """(out, at, seed): the hash of each masked window, and its first word's place."""
+    hashed = items.select(F.col(id_col).alias(out), word_hashes(F.col(text_col)).alias("words"))
+    windows = hashed.select(out, F.size("words").alias("n"), masked_windows(F.col("words")).alias("windows"))
+    # Outer, as for an inner one Spark would compute all windows once more, in a filter on their number. The words stay
+    # behind: a long text's would be copied for each of its windows.
+    exploded = windows.select(out, "n", F.posexplode_outer("windows").alias("at", "seed")).where("seed IS NOT NULL")
+    return exploded.select(out, (F.col("at") % (F.col("n") - (SPAN - 1))).cast("int").alias("at"), "seed")
 
 
 def _best_segment(doc: Column, item: Column) -> Column:
@@ -80,47 +80,51 @@ def _best_segment(doc: Column, item: Column) -> Column:
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each contaminated document and item: doc_id, item_id, matched words, words of the item, first word."""
-    test = seeds(benchmark, {"id": "item_id", "as": "item_id", "text": "text", "hashes": "item", "at": "item_at"})
+    test = seeds(benchmark, "item_id", "text", "item_id").withColumnRenamed("at", "item_at")
     if test.count() <= BROADCAST_SEEDS:
         test = F.broadcast(test)
-    train = seeds(docs, {"id": id_col, "as": "doc_id", "text": text_col, "hashes": "words", "at": "doc_at"})
-
-    diagonal = F.col("doc_at") - F.col("item_at")
-    from_doc = F.greatest(F.lit(0), diagonal)
-    from_item = F.greatest(F.lit(0), -diagonal)
-    length = F.least(F.size("item") - from_item, F.size("words") - from_doc)
-    hits = (
-        train.join(test, "seed")
-        .select(
-            "doc_id",
-            "item_id",
-            from_doc.alias("first_word"),
-            F.slice("words", from_doc + 1, length).alias("stretch"),
-            F.slice("item", from_item + 1, length).alias("aligned"),
-            F.size("item").alias("item_words"),
-        )
-        .distinct()
+    hits = materialise(
+        seeds(docs, id_col, text_col, "doc_id")
+        .join(test, "seed")
+        .select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal"))
+        .distinct(),
+        "seed-hits",
     )
-    enough = F.least(F.lit(MIN_MATCHES), F.ceil(F.col("item_words") * F.lit(MIN_SHARE)))
-    return (
-        hits.withColumn("matched", _best_segment(F.col("stretch"), F.col("aligned")))
-        .where(F.col("matched") >= enough)
-        .groupBy("doc_id", "item_id")
-        .agg(F.max(F.struct("matched", (-F.col("first_word")).alias("before"), "item_words")).alias("best"))
-        .select(
-            "doc_id",
-            "item_id",
-            F.col("best.matched").cast("long").alias("matched"),
-            F.col("best.item_words").cast("long").alias("item_words"),
-            (-F.col("best.before")).cast("long").alias("first_word"),
-        )
+
+    # Only documents with a hit are read for their words again.
+    hit_ids = hits.select(F.col("doc_id").alias("hit_id")).distinct()
+    if hits.count() <= BROADCAST_HITS:
+        hit_ids = F.broadcast(hit_ids)
+    held = docs.select(F.col(id_col).alias("of"), F.col(text_col).alias("text"))
+    held = held.join(hit_ids, F.col("of").eqNullSafe(F.col("hit_id")), "left_semi")
+    words = held.select("of", word_hashes(F.col("text")).alias("words"))
+    items = benchmark.select(F.col("item_id").alias("of_item"), word_hashes(F.col("text")).alias("item"))
+
+    from_doc = F.greatest(F.lit(0), F.col("diagonal"))
+    from_item = F.greatest(F.lit(0), -F.col("diagonal"))
+    length = F.greatest(F.lit(0), F.least(F.size("item") - from_item, F.size("words") - from_doc))
+    aligned = hits.join(words, F.col("doc_id").eqNullSafe(F.col("of"))).join(
+        items, F.col("item_id").eqNullSafe(F.col("of_item"))
+    )
+    matched = _best_segment(F.slice("words", from_doc + 1, length), F.slice("item", from_item + 1, length))
+    found = aligned.select(
+        "doc_id", "item_id", from_doc.alias("first_word"), F.size("item").alias("item_words"), matched.alias("matched")
+    )
+    best = found.groupBy("doc_id", "item_id").agg(
+        F.max(F.struct("matched", (-F.col("first_word")).alias("before"), "item_words")).alias("best")
+    )
+    enough = F.least(F.lit(MIN_MATCHES), F.ceil(F.col("best.item_words") * F.lit(MIN_SHARE)))
+    return best.where(F.col("best.matched") >= enough).select(
+        "doc_id",
+        "item_id",
+        F.col("best.matched").cast("long").alias("matched"),
+        F.col("best.item_words").cast("long").alias("item_words"),
+        (-F.col("best.before")).cast("long").alias("first_word"),
     )
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, max_broadcast: int = 1_000_000) -> DataFrame:
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, max_broadcast: int = BROADCAST_HITS) -> DataFrame:
     """The rows of ``docs`` that no item contaminates, with all their columns."""
-    from foliant.llm.common import materialise
-
     leaked = materialise(find_leaks(docs, benchmark).select(F.col("doc_id").alias("leaked_id")).distinct(), "leaks")
     if leaked.count() <= max_broadcast:
         leaked = F.broadcast(leaked)
