@@ -7,9 +7,9 @@ PMI(e; t) = log(p(e, t) / (p(e) p(t))), at most the information content IC(e) =
 occurs without e. Words whose PMI is ``DISCLOSURE`` of IC(e) or more, seen together in ``SUPPORT`` different contexts, are
 over the disclosure threshold; wherever they stand in a context of e they are sanitised like e itself, generalised to a tag.
 
-Words count as together with an entity within ``CONTEXT`` code points on either side. Copies of a context count once, else
-a copied document would seem to prove that its own words reveal what it holds; p(t) counts all documents, and a document
-holding t at all counts once. Only contexts, counts of words and disclosing pairs are shuffled, texts never are.
+Words count as together with an entity within ``CONTEXT`` code points on either side; for p(t) a document counts that holds t
+at all. Contexts that are equal count once towards the support, else a copied document would seem to prove that its own words
+reveal what it holds. Only contexts, counts of words and disclosing pairs are shuffled, texts never are.
 
 Offsets come from the detectors' own matches: a text split at its matches gives the gaps between them, and running sums of
 gaps and matches give the code points at which each starts. Patterns are written so that no run of characters is tried
@@ -114,9 +114,10 @@ def _kind(rank: Column) -> Column:
 
 
 def _contexts(found: DataFrame) -> DataFrame:
-    """(digest, entity, side, words) of both sides of each base span; a word is (word, start, end)."""
+    """(digest, row, entity, context, words) of both sides of each base span; a word is (word, start, end)."""
     # Outer explodes throughout: for inner ones Spark would find all spans once more, in a filter on their number.
-    span = found.select("digest", "text", F.explode_outer("base").alias("s")).where("s IS NOT NULL")
+    row = F.xxhash64("doc_id", "digest").alias("row")
+    span = found.select("digest", row, "text", F.explode_outer("base").alias("s")).where("s IS NOT NULL")
     left_from = F.greatest(F.lit(0), F.col("s.start") - CONTEXT)
     left = F.struct(
         left_from.alias("offset"),
@@ -132,6 +133,7 @@ def _contexts(found: DataFrame) -> DataFrame:
     )
     sides = span.select(
         "digest",
+        "row",
         F.concat_ws(":", _kind(F.col("s.rank")), F.lower("s.value")).alias("entity"),
         F.explode_outer(F.array(left, right)).alias("c"),
     )
@@ -147,30 +149,22 @@ def _contexts(found: DataFrame) -> DataFrame:
             (F.col("c.offset") + w["end"]).alias("end"),
         ),
     )
-    return sides.select("digest", "entity", F.xxhash64("c.side").alias("context"), words.alias("words"))
+    return sides.select("digest", "row", "entity", F.xxhash64("c.side").alias("context"), words.alias("words"))
 
 
 def disclosing_terms(docs: DataFrame, contexts: DataFrame) -> DataFrame:
     """(entity, word, pmi, ic) of the pairs over the disclosure threshold; ``docs`` has a column text."""
-    seen = contexts.select("entity", "context", "digest", F.explode("words.word").alias("word"))
+    seen = contexts.select("entity", "context", "row", F.explode("words.word").alias("word"))
     together = materialise(
         seen.groupBy("entity", "word")
-        .agg(F.countDistinct("context").alias("contexts"), F.countDistinct("digest").alias("n_both"))
+        .agg(F.countDistinct("context").alias("contexts"), F.countDistinct("row").alias("n_both"))
         .where(F.col("contexts") >= SUPPORT),
         "pii-pairs",
     )
-    # Document frequencies are over different texts: a copied document is one witness.
-    digest = F.unhex(F.sha2(F.col("text").cast("binary"), 256))
-    wanted = together.select("word").distinct()
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
     in_text = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))
-    words = docs.select(digest.alias("digest"), F.explode_outer(in_text).alias("word"))
-    of_word = (
-        words.join(wanted, "word", "left_semi").distinct().groupBy("word").agg(F.count("*").alias("n_word"))
-    )
-    of_entity = contexts.select("entity", "digest").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    n = docs.select(digest.alias("d")).distinct().count()
+    of_word = docs.select(F.explode_outer(in_text).alias("word")).groupBy("word").agg(F.count("*").alias("n_word"))
+    of_entity = contexts.select("entity", "row").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+    n = docs.count()
     total = F.lit(float(max(n, 1)))
     pmi = F.log(F.col("n_both") * total / (F.col("n_entity") * F.col("n_word")))
     ic = F.log(total / F.col("n_entity"))
