@@ -1,54 +1,16 @@
-"""The registry of the analytics queries: name, builder, and DuckDB SQL where there is one."""
+"""All analytics queries, by importing the modules that register them."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from foliant.plans import classes, cleaning, languages, scores, served, tables
+from foliant.plans.registry import QUERIES, SQL, Query
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    """Add a query under ``name``, with the SQL that gives the same rows."""
-
-    def add(build: Query) -> Query:
-        _QUERIES[name] = build
-        if sql:
-            _SQL[name] = sql
-        return build
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-@register(
-    "doc_stats",
-    """
-    SELECT doc_id, CAST(length(text) AS BIGINT) AS char_count,
-           CAST(len(list_filter(string_split_regex(text, '[\\s]+'), lambda w: w <> '')) AS BIGINT) AS word_count
-    FROM documents
-    """,
-)
-def doc_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
-    return table(spark, sf_dir, "documents").select(
-        "doc_id",
-        F.length("text").cast("long").alias("char_count"),
-        F.size(words).cast("long").alias("word_count"),
-    )
+MODULES = (served, languages, classes, cleaning, scores, tables)
 
 
 def queries() -> dict[str, Query]:
-    return _QUERIES
+    return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return _SQL
+    return SQL
