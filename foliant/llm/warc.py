@@ -245,7 +245,7 @@ def write_archives(
                 page_id, url, html, refers_to = (column[i].as_py() for column in batch.columns)
                 if out is None:
                     name, count = f"part-{task.partitionId():06d}-{task.taskAttemptId()}-{len(done):04d}.warc.zst", 0
-                    out = store.open_output_stream(f"{base}/{name}")
+                    out = store.open_output_stream(f"{base}/{name}", compression=None)
                     out.write(lead := dictionary_frame(dictionary))
                     size = len(lead)
                 out.write(frame := encoder.compress(build_record(page_id, url, html.encode(), refers_to)))
@@ -284,7 +284,7 @@ def read_archives(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 store, name = _open(path)
-                with store.open_input_stream(name) as stream:
+                with store.open_input_stream(name, compression=None) as stream:
                     yield from _batches(path, stream, with_payload, schema)
 
     files = manifest.select("path")
