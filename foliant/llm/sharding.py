@@ -101,18 +101,33 @@ def best_fit_decreasing(sizes: list[int], capacity: int, limit: int | None = Non
 
 
 def pack(sizes: list[int], shards: int) -> list[int]:
-    """Bins 0 to ``shards - 1`` by best fit at the least capacity, to one part in 4096, that suffices."""
+    """Bins 0 to ``shards - 1`` by best fit at the least capacity, to one part in 4096, that suffices.
+
+    A size over the even share of what is left to pack has a bin to itself, so that it doesn't widen the others.
+    """
+    order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
+    total, bins, alone = sum(sizes), shards, 0
+    while alone < len(order) and bins > 1 and sizes[order[alone]] * bins > total:
+        total, bins, alone = total - sizes[order[alone]], bins - 1, alone + 1
+    rest = order[alone:]
+    placed = [0] * len(sizes)
+    for bin_, i in enumerate(order[:alone]):
+        placed[i] = bin_
+    for i, bin_ in zip(rest, _pack_even([sizes[i] for i in rest], bins), strict=True):
+        placed[i] = alone + bin_
+    return placed
+
+
+def _pack_even(sizes: list[int], shards: int) -> list[int]:
     if not sizes:
         return []
     total = sum(sizes)
     low = max(-(-total // shards), max(sizes))
-    step = max(1, total // shards // 4096)
-    high, best = low, best_fit_decreasing(sizes, low, shards)
+    grain = max(1, total // shards // 4096)
+    high, step, best = low, grain, best_fit_decreasing(sizes, low, shards)
     while best is None:
-        low, high = high, high + step
-        step *= 2
+        low, high, step = high, high + step, step * 2
         best = best_fit_decreasing(sizes, high, shards)
-    grain = max(1, total // shards // 4096)
     while high - low > grain:
         middle = (low + high) // 2
         tried = best_fit_decreasing(sizes, middle, shards)
