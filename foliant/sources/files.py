@@ -72,7 +72,10 @@ def mime_type(name: Column) -> Column:
 
 
 def find_files(spark: SparkSession, folder: str, pattern: str = "*", recursive: bool = True, extensions=None) -> DataFrame:
-    """Files under a folder with path, name, size, time and content; the content is only read where it is used."""
+    """Files under a folder with path, name, size, time and content; the content is only read where it is used.
+
+    Spark's file readers pass over files without any bytes, so those never show.
+    """
     reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern)
     files = reader.option("recursiveFileLookup", str(recursive).lower()).load(folder)
     files = files.withColumn("name", F.element_at(F.split("path", "/"), -1)).withColumn("extension", extension(F.col("name")))
