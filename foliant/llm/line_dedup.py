@@ -62,6 +62,8 @@ class LineRuns:
     def __init__(self, spark: SparkSession, min_docs: int = MIN_DOCS, fanout: int = FANOUT):
         self.spark, self.min_docs, self.fanout = spark, min_docs, fanout
         self.levels: list[list[DataFrame]] = []
+        #: The distinct (doc_id, hash) of all batches, written once and read again for the answer.
+        self.lines: DataFrame | None = None
 
     def runs(self) -> list[DataFrame]:
         return [run for level in self.levels for run in level]
@@ -71,12 +73,9 @@ class LineRuns:
 
         No document may be in two batches, and batches come in descending order of ids.
         """
-        counted = (
-            lines.groupBy("hash", "doc_id")
-            .agg(F.lit(1).alias("one"))
-            .groupBy("hash")
-            .agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keeper"))
-        )
+        held = materialise(lines.distinct(), "lines")
+        self.lines = held if self.lines is None else self.lines.unionByName(held)
+        counted = held.groupBy("hash").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keeper"))
         for run in self.runs():
             counted = counted.join(run.where(F.col("n_docs") >= self.min_docs), "hash", "left_anti")
         self._put(0, counted)
@@ -135,8 +134,7 @@ def line_dedup(
     if frequent.count() <= BROADCAST_ENTRIES:
         frequent = F.broadcast(frequent)
     lost = (
-        line_hashes(docs, min_chars)
-        .join(frequent, "hash")
+        store.lines.join(frequent, "hash")
         .where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
         .groupBy("doc_id")
         .agg(F.collect_set("hash").alias("lost"))
