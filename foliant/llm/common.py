@@ -45,6 +45,13 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 2_000) -> None:
+    """Hand texts to Python workers in batches of ``rows`` at most: they bound a worker's memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows:
+        spark.conf.set(key, str(rows))
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete the files of materialised frames that nothing will read again."""
     for df in frames:

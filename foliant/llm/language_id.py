@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliant.llm.common import small_batches
+
 ORDER = 3
 FOLDS = 5
 TRAIN_BYTES = 2_000_000
@@ -169,6 +171,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, train_bytes: int = TRAIN_BYTES) -> LanguageModel:
     """Learn from text and lang of the documents that aren't held out."""
+    small_batches(docs.sparkSession)
     labelled = docs.where(~held_out()).where("lang IS NOT NULL AND text IS NOT NULL AND text <> ''").select("doc_id", "lang", "text")
     sizes = labelled.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes"))
     part = F.least(F.lit(1.0), F.lit(float(train_bytes)) / F.col("bytes"))
@@ -189,6 +192,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
     nothing = F.struct(F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     if not model.names:
         return docs.withColumn("language", nothing)
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<lang_pred: string, score: double>")

@@ -6,10 +6,12 @@ least ``num / den``. Documents with equal shingle sets are one class and one row
 1. Blocks. Sets of n and m >= n shingles that link differ in at most n (den - num) / num of them. The hash range is cut into
    more parts than that, so at least one non-empty part is the same in both; its hash, under the size class of the smaller
    set, is a signature. Each set signs for its own size class and, if it can be the larger of a pair, for the class below;
-   classes are so wide that a partner is in the same or the next. A set with too many empty parts for the argument also
-   signs with each shingle of its prefix, so that two such sets meet as well. Sets that share a signature fall in the same
-   candidate component. Within an Arrow batch a signature is kept once, its other sets being tied to the first by signatures
-   of their own; a signature that a third of all documents have costs a few rows a batch.
+   classes are so wide that a partner is in the same or the next. Hot shingles, those of passages that many documents share, are
+   left out of the parts, since a part that holds nothing else would bring all those documents together; what is left of
+   two sets differs no more than the sets do. A set with too many empty parts for the argument also signs with each shingle of
+   its prefix, hot ones last, so that two such sets meet as well. Sets that share a signature fall in the same
+   candidate component. Of the sets that a worker holds at a time a signature is kept once, its other sets being tied to the
+   first by signatures of their own; a signature that a third of all documents have costs a few rows a worker.
 2. Product. The rows of a candidate component are dealt into row blocks of bounded weight, and each pair of blocks is one
    piece of work: row by row, overlap counts with all rows that are not yet in the same group are accumulated column block
    by column block, first over the rarest columns of each partner's prefix, after which pairs without an overlap are
@@ -38,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from foliant.llm.common import discard, materialise
+from foliant.llm.common import discard, materialise, small_batches
 from foliant.llm.components import connected_components
 
 SHINGLE = 5
@@ -46,9 +48,17 @@ SIMILARITY = (80, 100)
 #: A row block holds about this many documents and this many shingles at most.
 BLOCK_ROWS = 2048
 BLOCK_SHINGLES = 4_000_000
+#: Signatures that a worker holds at once to tie equal ones.
+SIGNATURES_HELD = 2_000_000
 #: Lists of ids up to this many rows are broadcast; longer ones are shuffled.
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS = 500_000
 
+#: Shingles that meet in HOT_LEAST of every HOT_PART-th of the texts count as hot, the HOT_MOST most frequent at most.
+HOT_PART = 32
+HOT_LEAST = 4
+HOT_MOST = 1_000_000
+
+NONE = np.empty(0, np.uint64)
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -73,7 +83,7 @@ def shingle_set(text: str | None, k: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles."""
     words = text.encode().lower().split() if text else []
     if not words:
-        return np.empty(0, np.uint64)
+        return NONE
     hashes = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
     width = min(k, len(words))
     rows = len(words) - width + 1
@@ -105,12 +115,15 @@ def size_class(n: int, num: int, den: int) -> tuple[int, int, int]:
 def parts_of(high: int, num: int, den: int) -> tuple[int, int]:
     """(parts, most differences) of the class whose sizes are below ``high``."""
     differ = (high - 1) * (den - num) // num
-    return differ + 1 + -(-3 * (differ + 1) // 100), differ
+    return differ + 1 + -(-8 * (differ + 1) // 100), differ
 
 
-def signatures(shingles: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Hashes of which two linking, different sets share at least one."""
+def signatures(shingles: np.ndarray, num: int, den: int, hot: np.ndarray = NONE) -> np.ndarray:
+    """Hashes of which two linking, different sets share at least one, whatever shingles are ``hot`` (sorted)."""
     n = len(shingles)
+    at = np.minimum(np.searchsorted(hot, shingles), max(0, len(hot) - 1))
+    common = hot[at] == shingles if len(hot) else np.zeros(n, bool)
+    rare = shingles[~common]
     k, low, high = size_class(n, num, den)
     tops = [(k, high)]
     if k and n * num <= (low - 1) * den:
@@ -120,15 +133,36 @@ def signatures(shingles: np.ndarray, num: int, den: int) -> np.ndarray:
         parts, differ = parts_of(top, num, den)
         if not differ:
             continue
-        part = ((shingles >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-        starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-        sums = np.add.reduceat(mix(shingles), starts)
-        tag = mix(part[starts] + np.uint64(level << 40) + np.uint64(1))
-        out.append(mix(sums + tag))
+        starts = NONE
+        if len(rare):
+            part = ((rare >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+            starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+            sums = np.add.reduceat(mix(rare), starts)
+            tag = mix(part[starts] + np.uint64(level << 40) + np.uint64(1))
+            out.append(mix(sums + tag))
         if len(starts) <= min(differ, n * (den - num) // num):
             prefix = n - -(-n * num // den) + 1
-            out.append(mix(shingles[:prefix] ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
-    return np.unique(np.concatenate(out)) if out else np.empty(0, np.uint64)
+            ordered = np.concatenate([rare, shingles[common]])
+            out.append(mix(ordered[:prefix] ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
+    return np.unique(np.concatenate(out)) if out else NONE
+
+
+def hot_shingles(docs: DataFrame, k: int) -> np.ndarray:
+    """Shingles that many documents have, by counts on a part of the documents, sorted.
+
+    The list only decides which shingles sets meet by, never which meet: a poor one costs time.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(text.as_py(), k) for text in batch.column(0)]
+            found, n = np.unique(np.concatenate([NONE, *sets]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([_longs(found), pa.array(n)], ["shingle", "n"])
+
+    part = docs.where(F.pmod(F.xxhash64("text"), F.lit(HOT_PART)) == 0).select("text").distinct()
+    counted = part.mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    top = counted.where(F.col("n") >= HOT_LEAST).orderBy(F.col("n").desc()).limit(HOT_MOST).select("shingle").toArrow()
+    return np.sort(top.column(0).to_numpy().astype(np.int64).view(np.uint64))
 
 
 def _longs(x: np.ndarray) -> pa.Array:
@@ -159,61 +193,78 @@ def describe(docs: DataFrame, k: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, text_hash long, n long, digest binary, node long")
 
 
-def sign(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(signature, node) of every document; within a batch, sets that share one are tied to the first."""
+def sign(docs: DataFrame, k: int, num: int, den: int, hot: np.ndarray = NONE) -> DataFrame:
+    """(signature, node) of every document; of sets held together, those that share one are tied to the first."""
+
+    shared = docs.sparkSession.sparkContext.broadcast(hot)
+
+    def tied(found: list[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        sig = np.concatenate([s for _, s in found])
+        node = np.repeat(np.array([n for n, _ in found], np.int64).view(np.uint64), [len(s) for _, s in found])
+        order = np.lexsort((node, sig))
+        sig, node = sig[order], node[order]
+        first = np.concatenate([[True], sig[1:] != sig[:-1]])[: len(sig)]
+        head = node[np.flatnonzero(first)][np.cumsum(first) - 1]
+        # The tie between a set and the first: a signature that these two alone have.
+        ties, once = np.unique(mix(node[~first] ^ mix(head[~first])), return_index=True)
+        sig = np.concatenate([sig[first], ties, ties])
+        node = np.concatenate([node[first], node[~first][once], head[~first][once]])
+        # A set's rows follow each other, so that its number compresses well.
+        order = np.argsort(node, kind="stable")
+        sig, node = sig[order], node[order]
+        for at in range(0, len(sig), 100_000):
+            cut = slice(at, at + 100_000)
+            yield pa.RecordBatch.from_arrays([_longs(sig[cut]), _longs(node[cut])], ["sig", "node"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, seen, size = [], set(), 0
         for batch in batches:
-            found, seen = [], set()
             for text in batch.column(0):
                 shingles = shingle_set(text.as_py(), k)
                 digest = set_digest(shingles)
                 if len(shingles) and digest not in seen:
                     seen.add(digest)
-                    found.append((node_of(digest), signatures(shingles, num, den)))
-            if not found:
-                continue
-            sig = np.concatenate([s for _, s in found])
-            node = np.repeat(np.array([n for n, _ in found], np.int64).view(np.uint64), [len(s) for _, s in found])
-            order = np.lexsort((node, sig))
-            sig, node = sig[order], node[order]
-            first = np.concatenate([[True], sig[1:] != sig[:-1]])
-            head = node[np.flatnonzero(first)][np.cumsum(first) - 1]
-            # The tie between a set and the first: a signature that these two alone have.
-            tie = mix(node[~first] ^ mix(head[~first]))
-            ties, once = np.unique(tie, return_index=True)
-            sig = np.concatenate([sig[first], ties, ties])
-            node = np.concatenate([node[first], node[~first][once], head[~first][once]])
-            for at in range(0, len(sig), 100_000):
-                cut = slice(at, at + 100_000)
-                yield pa.RecordBatch.from_arrays([_longs(sig[cut]), _longs(node[cut])], ["sig", "node"])
+                    found.append((node_of(digest), signatures(shingles, num, den, shared.value)))
+                    size += len(found[-1][1])
+                if size >= SIGNATURES_HELD:
+                    yield from tied(found)
+                    found, seen, size = [], set(), 0
+        if found:
+            yield from tied(found)
 
     return docs.select("text").mapInArrow(run, "sig long, node long")
 
 
-def _sets(docs: DataFrame, k: int) -> DataFrame:
-    """(digest, n, node, shingles) of every row that has any; the set as packed 64-bit numbers."""
+def _placed_sets(docs: DataFrame, k: int) -> DataFrame:
+    """(root, blocks, block, digest, shingles) of rows (text, member, root, blocks) whose set is the member's.
+
+    The set comes as packed 64-bit numbers; a row whose id stands for another text's set is left out.
+    """
+    kinds = (pa.binary(), pa.int64(), pa.int32(), pa.binary())
+
+    def rows(held: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*held, strict=True)) or [[], [], [], []]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["digest", "root", "blocks", "shingles"]
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, size = [], 0
-            for text in batch.column(0):
+            held, size = [], 0
+            for text, member, root, blocks in zip(*batch.columns, strict=True):
                 shingles = shingle_set(text.as_py(), k)
-                if len(shingles):
-                    digest = set_digest(shingles)
-                    rows.append((digest, len(shingles), node_of(digest), shingles.tobytes()))
+                digest = set_digest(shingles)
+                if digest == member.as_py():
+                    held.append((digest, root.as_py(), blocks.as_py(), shingles.tobytes()))
                     size += shingles.nbytes
                 if size > 4 << 20:
-                    yield _rows(rows)
-                    rows, size = [], 0
-            yield _rows(rows)
+                    yield rows(held)
+                    held, size = [], 0
+            yield rows(held)
 
-    def _rows(rows: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*rows, strict=True)) or [[], [], [], []]
-        kinds = (pa.binary(), pa.int64(), pa.int64(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["digest", "n", "node", "shingles"])
-
-    return docs.select("text").mapInArrow(run, "digest binary, n long, node long, shingles binary")
+    held = docs.select("text", "member", "root", "blocks")
+    found = held.mapInArrow(run, "digest binary, root long, blocks int, shingles binary")
+    return found.withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
 
 
 def product_links(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
@@ -289,6 +340,7 @@ def ngram_components(
 ) -> DataFrame:
     """One row for each row of ``docs``: doc_id, text_hash, n_shingles, component_id."""
     num, den = similarity
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = materialise(describe(docs, k), "ngram-rows")
     classes = materialise(
@@ -300,7 +352,7 @@ def ngram_components(
 
     hub = F.min("node").over(Window.partitionBy("sig"))
     edges = (
-        sign(docs, k, num, den)
+        sign(docs, k, num, den, hot_shingles(docs, k))
         .withColumn("hub", hub)
         .where(F.col("hub") != F.col("node"))
         .select(F.col("hub").alias("a"), F.col("node").alias("b"))
@@ -312,17 +364,16 @@ def ngram_components(
     members = materialise(classes.join(near, "node").select("digest", "least", "n", "root"), "ngram-members")
     wide = F.greatest(F.count("*") / F.lit(BLOCK_ROWS), F.sum("n") / F.lit(BLOCK_SHINGLES))
     shape = members.groupBy("root").agg(F.ceil(wide).cast("int").alias("blocks"))
-    least = members.select(F.col("least").alias("wanted")).distinct()
+    placed = members.join(shape, "root").select(
+        F.col("least").alias("wanted"), F.col("digest").alias("member"), "root", "blocks"
+    )
     if members.count() <= BROADCAST_IDS:
-        least = F.broadcast(least)
-    sets = _sets(docs.join(least, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi"), k)
+        placed = F.broadcast(placed)
+    sets = _placed_sets(docs.join(placed, F.col("doc_id").eqNullSafe(F.col("wanted"))), k)
 
     i, j = F.col("block"), F.col("other")
     blocks = (
-        sets.join(near, "node")
-        .join(shape, "root")
-        .withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .where((F.col("blocks") == 1) | (i != j))
         .select("root", F.least(i, j).alias("i"), F.greatest(i, j).alias("j"), "digest", "shingles")
     )
