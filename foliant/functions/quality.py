@@ -128,6 +128,13 @@ def ocr_issues(text: Column) -> Column:
     )
 
 
+def has_plain_sentence(text: Column) -> Column:
+    """Whether, before some terminator, a capital is followed by a small letter; each piece is read once."""
+    pieces = F.split(text, "[.!?]", -1)
+    ended = F.slice(pieces, F.lit(1), F.size(pieces) - 1)
+    return F.exists(ended, lambda p: p.rlike("(?s)^[^A-Z]*+[A-Z][^a-z]*+[a-z]"))
+
+
 def structure_score(text: Column) -> Column:
     """Paragraphs add a tenth, the lack of a plain sentence takes a fifth.
 
@@ -135,7 +142,7 @@ def structure_score(text: Column) -> Column:
     are what stands between terminators.
     """
     paragraphs = F.when(F.contains(text, F.lit("\n\n")), 0.1).otherwise(0.0)
-    plain = F.when(text.rlike(r"[A-Z][^.!?]*[a-z][^.!?]*[.!?]"), 0.0).otherwise(-0.2)
+    plain = F.when(has_plain_sentence(text), 0.0).otherwise(-0.2)
     return F.when(F.size(sentences(text)) == 0, 0.0).otherwise(clamp(paragraphs + plain))
 
 
@@ -308,7 +315,7 @@ def comprehensive(docs: DataFrame, text_col: str = "text", source_type: str = "u
 def pdf_issues(text: Column) -> Column:
     links = (F.length(text) - F.length(F.replace(text, F.lit("http"), F.lit("")))) / 4
     return _issues(
-        (text.rlike(rx(r"\w+[A-Z][a-z]+[A-Z]")), "column_merge_issues"),
+        (text.rlike(rx(r"\w[A-Z][a-z]+[A-Z]")), "column_merge_issues"),
         (text.rlike(rx(r"\b[A-Z]{3,}\b.*\b[A-Z]{3,}\b")), "font_size_artifacts"),
         (links > F.size(words(text)) * 0.05, "excessive_hyperlinks"),
     )

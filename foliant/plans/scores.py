@@ -180,7 +180,7 @@ def extraction_artifacts(docs: DataFrame) -> DataFrame:
         "doc_id",
         *[F.array_contains("found", name).alias(name) for name in flags],
         quality.has_encoding_issues(text).alias("encoding_issues"),
-        text.rlike(r"[A-Z][^.!?]*[a-z][^.!?]*[.!?]").alias("has_plain_sentence"),
+        quality.has_plain_sentence(text).alias("has_plain_sentence"),
     )
 
 
