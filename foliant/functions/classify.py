@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.functions import lexicons as lx
-from foliant.functions.text import count, count_literal, rx, starts, strip, words
+from foliant.functions.text import count, count_literal, once, rx, starts, strip, words
 
 
 def first_best(scores: dict[str, Column]) -> Column:
@@ -15,6 +15,18 @@ def first_best(scores: dict[str, Column]) -> Column:
     return F.array_max(F.array(*ranked))
 
 
+def with_scores(scores: dict[str, Column], use) -> Column:
+    """``use(score, class, total)`` of the first class with the largest score; each score is computed once."""
+    names = F.array(*map(F.lit, scores))
+
+    def ranked(held: Column) -> Column:
+        best = F.array_max(F.transform(held, lambda s, i: F.struct(s.alias("score"), (-i).alias("order"))))
+        total = F.aggregate(held, F.lit(0), lambda a, s: a + s)
+        return once(best, lambda b: use(b["score"], F.get(names, -b["order"]), total))
+
+    return once(F.array(*scores.values()), ranked)
+
+
 def keyword_scores(text: Column, lexicon: dict[str, list[str]], weight: int = 1, fold: bool = True) -> dict[str, Column]:
     """For each class the occurrences of its keywords; ``fold``: ignoring case."""
     held = F.lower(text) if fold else text
@@ -43,11 +55,11 @@ def document_type(text: Column, language: Column) -> Column:
         keyword_scores(text, lx.TYPE_KEYWORDS_FR, 2, False), pattern_scores(text, lx.TYPE_PATTERNS_FR, 3), arabic
     )
 
-    def answer(scores: dict[str, Column]) -> Column:
-        best, total = first_best(scores), sum(scores.values(), F.lit(0))
-        share = F.coalesce(F.try_divide(best["score"] * 100.0, total), F.lit(0.0))
-        return F.struct(best["class"].alias("type"), F.least(share, F.lit(100.0)).alias("confidence"))
+    def named(score: Column, name: Column, total: Column) -> Column:
+        share = F.coalesce(F.try_divide(score * 100.0, total), F.lit(0.0))
+        return F.struct(name.alias("type"), F.least(share, F.lit(100.0)).alias("confidence"))
 
+    answer = lambda scores: with_scores(scores, named)
     return F.when(language == "ar", answer(arabic)).when(language == "mixed", answer(mixed)).otherwise(answer(french))
 
 
@@ -56,10 +68,8 @@ def sector(text: Column, language: Column) -> Column:
     arabic = keyword_scores(text, lx.SECTORS_AR, fold=False)
     mixed = _sum(keyword_scores(text, lx.SECTORS_FR, fold=False), arabic)
 
-    def answer(scores: dict[str, Column]) -> Column:
-        best = first_best(scores)
-        return F.when(best["score"] > 0, best["class"]).otherwise(lx.SECTOR_DEFAULT)
-
+    named = lambda score, name, total: F.when(score > 0, name).otherwise(lx.SECTOR_DEFAULT)
+    answer = lambda scores: with_scores(scores, named)
     return F.when(language == "ar", answer(arabic)).when(language == "mixed", answer(mixed)).otherwise(answer(french))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from foliant.functions import lexicons as lx
-from foliant.functions.text import letter_words, rx, strip
+from foliant.functions.text import letter_words, once, rx, strip
 
 
 def matches(text: Column, patterns, ignore_case: bool = False) -> Column:
@@ -63,33 +63,30 @@ def entity_total(*found: Column) -> Column:
 def by_frequency(found: Column) -> Column:
     """Structs (count, word) of an array's words, most frequent first, ties by first occurrence.
 
-    Word by word this would be quadratic; sorting (word, place) pairs brings equal words together instead.
+    Word by word this would be quadratic; sorting (word, place) pairs brings equal words together instead. Then the
+    first pair of each run knows its word's first place, and the next such pair, or the end, the run's length.
     """
-    placed = F.array_sort(F.transform(found, lambda w, i: F.struct(w.alias("word"), i.alias("at"))))
-    empty = F.struct(
-        F.array().cast("array<struct<n: int, at: int, word: string>>").alias("done"),
-        F.lit(None).cast("string").alias("word"),
-        F.lit(0).alias("n"),
-        F.lit(0).alias("at"),
-    )
 
-    def flush(s: Column) -> Column:
-        entry = F.struct((-s["n"]).alias("n"), s["at"].alias("at"), s["word"].alias("word"))
-        return F.when(s["n"] > 0, F.array_append(s["done"], entry)).otherwise(s["done"])
-
-    def step(s: Column, x: Column) -> Column:
-        same = s["word"].eqNullSafe(x["word"])
-        return F.struct(
-            F.when(same, s["done"]).otherwise(flush(s)).alias("done"),
-            x["word"].alias("word"),
-            F.when(same, s["n"] + 1).otherwise(F.lit(1)).alias("n"),
-            F.when(same, s["at"]).otherwise(x["at"]).alias("at"),
+    def runs(placed: Column) -> Column:
+        n = F.size(placed)
+        heads = F.filter(
+            F.sequence(F.lit(0), n - 1),
+            lambda i: (i == 0) | (F.get(placed, i)["word"] != F.get(placed, i - 1)["word"]),
         )
+        return once(heads, lambda held: counted(placed, held, n))
+
+    def counted(placed: Column, heads: Column, n: Column) -> Column:
+        ends = F.concat(F.slice(heads, F.lit(2), F.size(heads)), F.array(n))
+        ranked = F.zip_with(
+            heads,
+            ends,
+            lambda a, b: F.struct((a - b).alias("n"), F.get(placed, a)["at"].alias("at"), F.get(placed, a)["word"].alias("word")),
+        )
+        return F.transform(F.array_sort(ranked), lambda x: F.struct((-x["n"]).alias("n"), x["word"].alias("word")))
 
-    return F.transform(
-        F.array_sort(F.aggregate(placed, empty, step, flush)),
-        lambda x: F.struct((-x["n"]).alias("n"), x["word"].alias("word")),
-    )
+    placed = F.array_sort(F.transform(found, lambda w, i: F.struct(w.alias("word"), i.alias("at"))))
+    none = F.array().cast("array<struct<n: int, word: string>>")
+    return once(placed, lambda p: F.when(F.size(p) == 0, none).when(p.isNotNull(), runs(p)))
 
 
 def keyword_words(text: Column, language: Column) -> Column:
@@ -121,10 +118,14 @@ def section_keywords(text: Column, top: int = 10) -> Column:
 
 def metadata_keywords(text: Column, top: int = 20) -> Column:
     """Transport terms as they occur, repeats included, then frequent words that are not among them."""
-    terms = matches(F.lower(text), [(p, 0) for p in lx.TRANSPORT_TERMS])
     ranked = F.filter(F.slice(by_frequency(letter_words(text)), 1, top), lambda x: x["n"] > 2)
-    frequent = F.filter(F.transform(ranked, lambda x: x["word"]), lambda w: ~F.array_contains(terms, w))
-    return F.slice(F.concat(terms, frequent), 1, top)
+    frequent = F.transform(ranked, lambda x: x["word"])
+
+    def joined(terms: Column) -> Column:
+        fresh = F.filter(frequent, lambda w: ~F.array_contains(terms, w))
+        return F.slice(F.concat(terms, fresh), 1, top)
+
+    return once(matches(F.lower(text), [(p, 0) for p in lx.TRANSPORT_TERMS]), joined)
 
 
 def key_terms(text: Column, top: int = 10) -> Column:
@@ -160,28 +161,32 @@ def typed_dates(text: Column) -> Column:
     Of approval and effective dates the last one counts, of creation dates the first.
     """
     date = rf"\d{{1,2}}[/\-.]\d{{1,2}}[/\-.]\d{{4}}|\d{{1,2}}\s+(?:{lx.MONTHS_FR}|{lx.MONTHS_AR_PARSED})\s+\d{{4}}"
-    split = F.split(text, rx(date, True), -1)
-    found = F.regexp_extract_all(text, F.lit(rx(date, True)), F.lit(0))
-
-    def context(i: Column) -> Column:
-        before, after = F.get(split, i), F.get(split, i + 1)
-        return F.lower(F.concat_ws(" ", F.right(before, F.lit(50)), F.left(after, F.lit(50))))
-
-    def kind(i: Column) -> Column:
-        near = context(i)
-        return (
-            F.when(near.rlike("|".join(lx.APPROVAL_CONTEXT)), "approval")
-            .when(near.rlike("|".join(lx.EFFECTIVE_CONTEXT)), "effective")
-            .otherwise("creation")
+
+    def typed(found: Column, gaps: Column) -> Column:
+        def one(d: Column, i: Column) -> Column:
+            near = F.lower(F.concat_ws(" ", F.right(F.get(gaps, i), F.lit(50)), F.left(F.get(gaps, i + 1), F.lit(50))))
+            kind = (
+                F.when(near.rlike("|".join(lx.APPROVAL_CONTEXT)), "approval")
+                .when(near.rlike("|".join(lx.EFFECTIVE_CONTEXT)), "effective")
+                .otherwise("creation")
+            )
+            return F.struct(kind.alias("kind"), parse_date(d).alias("date"))
+
+        return F.filter(F.transform(found, one), lambda x: x["date"].isNotNull())
+
+    def chosen(dated: Column) -> Column:
+        of = lambda name: F.transform(F.filter(dated, lambda x: x["kind"] == name), lambda x: x["date"])
+        return F.struct(
+            F.try_element_at(of("approval"), F.lit(-1)).alias("approval_date"),
+            F.try_element_at(of("effective"), F.lit(-1)).alias("effective_date"),
+            F.try_element_at(of("creation"), F.lit(1)).alias("creation_date"),
         )
 
-    typed = F.filter(
-        F.transform(found, lambda d, i: F.struct(kind(i).alias("kind"), parse_date(d).alias("date"))),
-        lambda x: x["date"].isNotNull(),
-    )
-    of = lambda name: F.transform(F.filter(typed, lambda x: x["kind"] == name), lambda x: x["date"])
-    return F.struct(
-        F.try_element_at(of("approval"), F.lit(-1)).alias("approval_date"),
-        F.try_element_at(of("effective"), F.lit(-1)).alias("effective_date"),
-        F.try_element_at(of("creation"), F.lit(1)).alias("creation_date"),
+    none = F.array().cast("array<struct<kind: string, date: date>>")
+    dated = once(
+        F.regexp_extract_all(text, F.lit(rx(date, True)), F.lit(0)),
+        lambda found: F.when(F.size(found) == 0, none).otherwise(
+            once(F.split(text, rx(date, True), -1), lambda gaps: typed(found, gaps))
+        ),
     )
+    return once(dated, chosen)

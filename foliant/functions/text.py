@@ -52,6 +52,11 @@ def count_literal(text: Column, term: str) -> Column:
     return ((F.length(text) - F.length(F.replace(text, F.lit(term), F.lit("")))) / len(term)).cast("int")
 
 
+def once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def mean(values: Column) -> Column:
     total = F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
     return F.when(F.size(values) > 0, total / F.size(values))
@@ -133,14 +138,22 @@ def word_set(text: Column) -> Column:
 
 
 def drop_redundant(found: Column, threshold: float = 0.8) -> Column:
-    """Sentences in order, without those more similar than ``threshold`` to one that was kept."""
-    return F.aggregate(
-        found,
-        F.array().cast("array<string>"),
-        lambda kept, s: F.when(
-            F.exists(kept, lambda k: jaccard(word_set(k), word_set(s)) > threshold), kept
-        ).otherwise(F.array_append(kept, s)),
+    """Sentences in order, without those more similar than ``threshold`` to one that was kept.
+
+    Each sentence's words are found once, and its number of words bounds the similarity before any sets are compared.
+    """
+    held = F.transform(found, lambda s: F.struct(s.alias("s"), word_set(s).alias("w")))
+
+    def close(k: Column, x: Column) -> Column:
+        few, many = F.least(F.size(k["w"]), F.size(x["w"])), F.greatest(F.size(k["w"]), F.size(x["w"]))
+        return (few > many * threshold) & (jaccard(k["w"], x["w"]) > threshold)
+
+    kept = F.aggregate(
+        held,
+        F.array().cast("array<struct<s: string, w: array<string>>>"),
+        lambda kept, x: F.when(F.exists(kept, lambda k: close(k, x)), kept).otherwise(F.array_append(kept, x)),
     )
+    return F.transform(kept, lambda x: x["s"])
 
 
 # --- cleaning -----------------------------------------------------------------------------------------------

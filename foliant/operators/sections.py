@@ -17,7 +17,7 @@ from foliant.functions import lexicons as lx
 from foliant.functions.classify import section_type, type_of_structure
 from foliant.functions.entities import section_keywords
 from foliant.functions.language import section_language
-from foliant.functions.text import rx, starts, strip, words
+from foliant.functions.text import once, rx, starts, strip, words
 
 MIN_SECTION = 50
 MIN_TEXT = 100
@@ -57,7 +57,7 @@ def cut_sections(text: Column, language: str | None = None, least: int = MIN_SEC
 
     def from_lines(lines: Column) -> Column:
         levels = F.transform(lines, lambda s: heading_level(strip(s), language, strict))
-        return _once(levels, lambda held: from_levels(lines, held))
+        return once(levels, lambda held: from_levels(lines, held))
 
     def from_levels(lines: Column, levels: Column) -> Column:
         n = F.size(lines)
@@ -93,7 +93,7 @@ def cut_sections(text: Column, language: str | None = None, least: int = MIN_SEC
         return F.flatten(F.transform(bounds, pieces))
 
     blank = F.transform(raw, lambda s: F.when(strip(s) == "", F.lit("")).otherwise(s))
-    found = _once(blank, from_lines)
+    found = once(blank, from_lines)
     numbered = F.transform(
         found,
         lambda s, i: F.struct(
@@ -105,10 +105,6 @@ def cut_sections(text: Column, language: str | None = None, least: int = MIN_SEC
     return numbered
 
 
-def _once(value: Column, use) -> Column:
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def parents(levels: Column) -> Column:
     """For each section the place of its parent, or -1.
 
