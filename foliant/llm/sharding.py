@@ -31,7 +31,7 @@ from foliant.llm.common import materialise
 SHARDS = 24
 ROW_BYTES = 8
 GRAIN = 256
-ROWS_PER_BLOCK = 5_000
+ROWS_PER_BLOCK = 1_000
 
 
 class CapacityTree:
