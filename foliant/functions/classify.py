@@ -28,10 +28,9 @@ def with_scores(scores: dict[str, Column], use) -> Column:
 
 
 def keyword_scores(text: Column, lexicon: dict[str, list[str]], weight: int = 1, fold: bool = True) -> dict[str, Column]:
-    """For each class the occurrences of its keywords; ``fold``: ignoring case."""
-    held = F.lower(text) if fold else text
+    """For each class the occurrences of its keywords; ``fold``: in lower case, which ``text`` must be in then."""
     return {
-        name: sum((count_literal(held, k.lower() if fold else k) for k in terms), F.lit(0)) * weight
+        name: sum((count_literal(text, k.lower() if fold else k) for k in terms), F.lit(0)) * weight
         for name, terms in lexicon.items()
     }
 
@@ -49,7 +48,7 @@ def document_type(text: Column, language: Column) -> Column:
 
     Keywords of Arabic and mixed texts are matched as they are written.
     """
-    french = _sum(keyword_scores(text, lx.TYPE_KEYWORDS_FR, 2), pattern_scores(text, lx.TYPE_PATTERNS_FR, 3))
+    french = lambda lower: _sum(keyword_scores(lower, lx.TYPE_KEYWORDS_FR, 2), pattern_scores(text, lx.TYPE_PATTERNS_FR, 3))
     arabic = _sum(keyword_scores(text, lx.TYPE_KEYWORDS_AR, 2, False), pattern_scores(text, lx.TYPE_PATTERNS_AR, 3))
     mixed = _sum(
         keyword_scores(text, lx.TYPE_KEYWORDS_FR, 2, False), pattern_scores(text, lx.TYPE_PATTERNS_FR, 3), arabic
@@ -60,17 +59,21 @@ def document_type(text: Column, language: Column) -> Column:
         return F.struct(name.alias("type"), F.least(share, F.lit(100.0)).alias("confidence"))
 
     answer = lambda scores: with_scores(scores, named)
-    return F.when(language == "ar", answer(arabic)).when(language == "mixed", answer(mixed)).otherwise(answer(french))
+    return F.when(language == "ar", answer(arabic)).when(language == "mixed", answer(mixed)).otherwise(
+        once(F.lower(text), lambda lower: answer(french(lower)))
+    )
 
 
 def sector(text: Column, language: Column) -> Column:
-    french = keyword_scores(text, lx.SECTORS_FR)
+    french = lambda lower: keyword_scores(lower, lx.SECTORS_FR)
     arabic = keyword_scores(text, lx.SECTORS_AR, fold=False)
     mixed = _sum(keyword_scores(text, lx.SECTORS_FR, fold=False), arabic)
 
     named = lambda score, name, total: F.when(score > 0, name).otherwise(lx.SECTOR_DEFAULT)
     answer = lambda scores: with_scores(scores, named)
-    return F.when(language == "ar", answer(arabic)).when(language == "mixed", answer(mixed)).otherwise(answer(french))
+    return F.when(language == "ar", answer(arabic)).when(language == "mixed", answer(mixed)).otherwise(
+        once(F.lower(text), lambda lower: answer(french(lower)))
+    )
 
 
 def metadata_type(text: Column) -> Column:

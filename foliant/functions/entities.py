@@ -26,7 +26,7 @@ def _by_language(text: Column, language: Column, french, arabic) -> Column:
 
 
 def as_set(found: Column) -> Column:
-    return F.array_sort(F.array_distinct(found))
+    return F.sort_array(F.array_distinct(found))
 
 
 def dates(text: Column, language: Column) -> Column:
@@ -82,9 +82,9 @@ def by_frequency(found: Column) -> Column:
             ends,
             lambda a, b: F.struct((a - b).alias("n"), F.get(placed, a)["at"].alias("at"), F.get(placed, a)["word"].alias("word")),
         )
-        return F.transform(F.array_sort(ranked), lambda x: F.struct((-x["n"]).alias("n"), x["word"].alias("word")))
+        return F.transform(F.sort_array(ranked), lambda x: F.struct((-x["n"]).alias("n"), x["word"].alias("word")))
 
-    placed = F.array_sort(F.transform(found, lambda w, i: F.struct(w.alias("word"), i.alias("at"))))
+    placed = F.sort_array(F.transform(found, lambda w, i: F.struct(w.alias("word"), i.alias("at"))))
     none = F.array().cast("array<struct<n: int, word: string>>")
     return once(placed, lambda p: F.when(F.size(p) == 0, none).when(p.isNotNull(), runs(p)))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from foliant.functions import lexicons as lx
-from foliant.functions.text import bare_words, count, strip
+from foliant.functions.text import bare_words, count, once, strip
 
 ARABIC = "؀-ۿݐ-ݿࢠ-ࣿﭐ-﷿ﹰ-﻿"
 LATIN_EXTENDED = "A-Za-zÀ-ſ"
@@ -34,19 +34,34 @@ def script_counts(text: Column) -> dict[str, Column]:
     }
 
 
+def _shares(counts: dict[str, Column]) -> dict[str, Column]:
+    """Each count by the sum of all, null if that is 0; the counts are computed once."""
+    def divided(c: Column) -> Column:
+        total = sum((c[name] for name in counts), F.lit(0))
+        return F.struct(*[F.try_divide(c[name], total).alias(name) for name in counts])
+
+    found = once(F.struct(*[c.alias(name) for name, c in counts.items()]), divided)
+    return {name: found[name] for name in counts}
+
+
 def script_shares(text: Column) -> dict[str, Column]:
     """Shares of Latin, Arabic and other letters; null without any."""
-    counts = script_counts(text)
-    total = counts["latin"] + counts["arabic"] + counts["other"]
-    return {name: F.try_divide(n, total) for name, n in counts.items()}
+    return _shares(script_counts(text))
 
 
 def word_shares(text: Column) -> dict[str, Column]:
     """Shares of French and Arabic among the common words met; null without any."""
-    found = bare_words(F.lower(text), lx.DETECTOR_PUNCTUATION)
-    french = F.size(F.filter(found, lambda w: w.isin(lx.FRENCH_COMMON)))
-    arabic = F.size(F.filter(found, lambda w: w.isin(lx.ARABIC_COMMON)))
-    return {"french": F.try_divide(french, french + arabic), "arabic": F.try_divide(arabic, french + arabic)}
+
+    def divided(found: Column) -> Column:
+        size = lambda listed: F.size(F.filter(found, lambda w: w.isin(listed)))
+        counts = F.struct(size(lx.FRENCH_COMMON).alias("french"), size(lx.ARABIC_COMMON).alias("arabic"))
+        return once(
+            counts,
+            lambda c: F.struct(*[F.try_divide(c[x], c["french"] + c["arabic"]).alias(x) for x in ("french", "arabic")]),
+        )
+
+    shares = once(bare_words(F.lower(text), lx.DETECTOR_PUNCTUATION), divided)
+    return {name: shares[name] for name in ("french", "arabic")}
 
 
 def pattern_shares(text: Column) -> dict[str, Column]:
@@ -54,7 +69,7 @@ def pattern_shares(text: Column) -> dict[str, Column]:
     french = sum((count(text, p, True) for p in lx.FRENCH_PATTERNS), F.lit(0))
     arabic_patterns = (f"[{ARABIC}]", f"[{lx.ARABIC_LETTERS}]", f"[{lx.ARABIC_HAMZA}]", "[ً-ٰٟـ]")
     arabic = sum((count(text, p) for p in arabic_patterns), F.lit(0))
-    return {"french": F.try_divide(french, french + arabic), "arabic": F.try_divide(arabic, french + arabic)}
+    return _shares({"french": french, "arabic": arabic})
 
 
 def detect(script: dict, word: dict, pattern: dict, n_words: Column, blank: Column, least: float = 0.3) -> Column:
@@ -101,12 +116,13 @@ def is_mixed(text: Column, threshold: float = 0.3) -> Column:
     return hits >= 2
 
 
-def _letters(text: Column) -> tuple[Column, Column, Column, Column]:
-    return (
-        count(text, f"[{ARABIC}]"),
-        count(text, f"[{lx.ACCENTED_FR}]"),
-        count(text, "[a-zA-Z]"),
-        count(text, r"\S"),
+def _letters(text: Column) -> Column:
+    """Struct of Arabic, accented and plain Latin letters and of all visible characters."""
+    return F.struct(
+        count(text, f"[{ARABIC}]").alias("arabic"),
+        count(text, f"[{lx.ACCENTED_FR}]").alias("accented"),
+        count(text, "[a-zA-Z]").alias("latin"),
+        count(text, r"\S").alias("total"),
     )
 
 
@@ -115,41 +131,49 @@ def section_language(text: Column, latin_only: bool = False) -> Column:
 
     ``latin_only``: unaccented letters alone must reach the share that makes a text French, as for pages.
     """
-    arabic, accented, latin, total = _letters(text)
-    french = F.try_divide(accented + latin, total)
-    clear = F.try_divide(latin, total) if latin_only else french
-    return (
-        F.when(total == 0, "unknown")
-        .when((arabic / total > 0.1) & (french > 0.1), "mixed")
-        .when(arabic / total > 0.1, "arabic")
-        .when((accented > 0) | (clear > 0.7), "french")
-        .otherwise("unknown")
-    )
+
+    def named(c: Column) -> Column:
+        total = c["total"]
+        french = F.try_divide(c["accented"] + c["latin"], total)
+        clear = F.try_divide(c["latin"], total) if latin_only else french
+        return (
+            F.when(total == 0, "unknown")
+            .when((F.try_divide(c["arabic"], total) > 0.1) & (french > 0.1), "mixed")
+            .when(F.try_divide(c["arabic"], total) > 0.1, "arabic")
+            .when((c["accented"] > 0) | (clear > 0.7), "french")
+            .otherwise("unknown")
+        )
+
+    return once(_letters(text), named)
 
 
 def content_languages(text: Column) -> dict[str, Column]:
     """The primary language, an array of secondary ones, and the shares."""
-    arabic, accented, latin, total = _letters(text)
-    arabic_share, french_share = F.try_divide(arabic, total), F.try_divide(accented + latin, total)
-    primary = (
-        F.when(total == 0, "unknown")
-        .when(arabic_share > 0.3, "arabic")
-        .when((accented > 0) | (french_share > 0.7), "french")
-        .otherwise("unknown")
-    )
-    secondary = F.array_compact(
-        F.array(
-            F.when((primary != "arabic") & (arabic_share > 0.1), "arabic"),
-            F.when((primary != "french") & (french_share > 0.1), "french"),
+
+    def named(c: Column) -> Column:
+        arabic, french = F.try_divide(c["arabic"], c["total"]), F.try_divide(c["accented"] + c["latin"], c["total"])
+        primary = (
+            F.when(c["total"] == 0, "unknown")
+            .when(arabic > 0.3, "arabic")
+            .when((c["accented"] > 0) | (french > 0.7), "french")
+            .otherwise("unknown")
         )
-    )
-    return {
-        "primary_language": primary,
-        "secondary_languages": secondary,
-        "arabic_ratio": arabic_share,
-        "french_ratio": french_share,
-        "other_ratio": 1 - arabic_share - french_share,
-    }
+        secondary = F.array_compact(
+            F.array(
+                F.when((primary != "arabic") & (arabic > 0.1), "arabic"), F.when((primary != "french") & (french > 0.1), "french")
+            )
+        )
+        return F.struct(
+            primary.alias("primary_language"),
+            secondary.alias("secondary_languages"),
+            arabic.alias("arabic_ratio"),
+            french.alias("french_ratio"),
+            (1 - arabic - french).alias("other_ratio"),
+        )
+
+    found = once(_letters(text), named)
+    names = ("primary_language", "secondary_languages", "arabic_ratio", "french_ratio", "other_ratio")
+    return {name: found[name] for name in names}
 
 
 def simple_language(text: Column) -> Column:

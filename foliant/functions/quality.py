@@ -189,7 +189,7 @@ def top_count(found: Column) -> Column:
         n = F.when(s["word"] == w, s["n"] + 1).otherwise(F.lit(1))
         return F.struct(w.alias("word"), n.alias("n"), F.greatest(s["best"], n).alias("best"))
 
-    return F.aggregate(F.array_sort(found), zero, step, lambda s: s["best"])
+    return F.aggregate(F.sort_array(found), zero, step, lambda s: s["best"])
 
 
 def repetition_score(found: Column) -> Column:
@@ -298,7 +298,7 @@ def comprehensive(docs: DataFrame, text_col: str = "text", source_type: str = "u
     checked = extraction_quality(basic_quality(docs, text_col), text_col, source_type)
     checked = readability(checked.drop("language") if "language" in docs.columns else checked, text_col, language)
     overall = F.col("score") * 0.4 + F.col("extraction_score") * 0.3 + F.col("readability_score") * 0.3
-    checked = checked.withColumn("overall_score", overall).withColumn("all_issues", F.array_sort(F.array_distinct(F.concat("issues", "extraction_issues"))))
+    checked = checked.withColumn("overall_score", overall).withColumn("all_issues", F.sort_array(F.array_distinct(F.concat("issues", "extraction_issues"))))
     score = F.col("overall_score")
     return checked.withColumns(
         {

@@ -124,4 +124,4 @@ def retained(points: DataFrame, days: int = 30, as_of=None) -> DataFrame:
 def by_metric_json(points: DataFrame) -> DataFrame:
     """One JSON array of points a metric, for export."""
     point = F.struct("ts", "value")
-    return points.groupBy("name").agg(F.to_json(F.array_sort(F.collect_list(point))).alias("points"))
+    return points.groupBy("name").agg(F.to_json(F.sort_array(F.collect_list(point))).alias("points"))

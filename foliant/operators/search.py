@@ -160,7 +160,7 @@ PROMPT = "Contexte:\n%s\n\nQuestion: %s\n\nRéponse:"
 
 def build_prompts(retrieved: DataFrame, question: Column | None = None) -> DataFrame:
     """One prompt a question from its ranked chunks (query_id, rank, chunk[, question])."""
-    chunks = F.array_sort(F.collect_list(F.struct("rank", "chunk")))
+    chunks = F.sort_array(F.collect_list(F.struct("rank", "chunk")))
     gathered = retrieved.groupBy("query_id").agg(chunks.alias("c"), F.first("question").alias("question"))
     context = F.array_join(F.col("c.chunk"), "\n\n")
     return gathered.select("query_id", F.format_string(PROMPT, context, question if question is not None else F.col("question")).alias("prompt"))

@@ -185,7 +185,7 @@ def section_summary(text: Column, limit: int = 200) -> Column:
             (~fits).alias("full"),
         )
 
-    chosen = F.aggregate(F.array_sort(scored), zero, step, lambda s: strip(s["out"]))
+    chosen = F.aggregate(F.sort_array(scored), zero, step, lambda s: strip(s["out"]))
     return (
         F.when(F.length(text) <= limit, text).when(F.size(found) == 0, F.substring(text, 1, limit)).otherwise(chosen)
     )
@@ -275,7 +275,7 @@ def document_structure(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     n = F.size("sections")
     shares = F.map_from_entries(
         F.transform(
-            F.array_sort(F.array_distinct(F.col("typed.language"))),
+            F.sort_array(F.array_distinct(F.col("typed.language"))),
             lambda name: F.struct(name, F.size(F.filter("typed", lambda s: s["language"] == name)) / n),
         )
     )
@@ -313,7 +313,7 @@ def to_markdown(structure: DataFrame, sections: DataFrame, id_col: str = "doc_id
         F.lit(""),
     )
     rows = sections.select(id_col, F.struct("ordinal", entry.alias("entry"), part.alias("part")).alias("s"))
-    gathered = rows.groupBy(id_col).agg(F.array_sort(F.collect_list("s")).alias("s"))
+    gathered = rows.groupBy(id_col).agg(F.sort_array(F.collect_list("s")).alias("s"))
     entries = F.array_compact(F.col("s.entry"))
     head = F.concat_ws(
         "\n",
@@ -334,7 +334,7 @@ def to_html(structure: DataFrame, sections: DataFrame, id_col: str = "doc_id") -
     c = F.col
     item = F.concat(F.lit("<li><a href='#section-"), c("id"), F.lit("'>"), c("title"), F.lit("</a></li>"))
     rows = sections.where(c("section_type").isin(*TOC_TYPES)).select(id_col, F.struct("ordinal", item.alias("item")).alias("s"))
-    gathered = rows.groupBy(id_col).agg(F.array_sort(F.collect_list("s")).alias("s"))
+    gathered = rows.groupBy(id_col).agg(F.sort_array(F.collect_list("s")).alias("s"))
     line = lambda name, value: F.concat(F.lit(f"<p><strong>{name}:</strong> "), value, F.lit("</p>"))
     toc = F.when(
         F.size("s") > 0, F.concat(F.lit("<h2>Table of Contents</h2>\n<ul>\n"), F.array_join(F.col("s.item"), "\n"), F.lit("\n</ul>"))

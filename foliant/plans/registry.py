@@ -35,8 +35,20 @@ def on(table_name: str, name: str, sql: str | None = None) -> Callable:
     return add
 
 
+#: Tables whose scan is estimated at no more bytes than this are dealt over all cores.
+SMALL_TABLE = 64 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of a folder. A small one that lies in few files, and so in few row groups, is dealt over the cores.
+
+    What that shuffles is bounded; larger tables have row groups enough and are read as they lie.
+    """
+    found = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    few = size <= SMALL_TABLE and len(found.inputFiles()) < cores
+    return found.repartition(cores) if few else found
 
 
 def n(value: Column) -> Column:
