@@ -186,14 +186,13 @@ def _open(uri: str):
 
 def train_dictionary(pages: DataFrame, payload_col: str = "html") -> bytes:
     """A dictionary from a bounded sample, or none if the sample is too small."""
-    sample = (
-        pages.select(F.coalesce(F.col(payload_col), F.lit("")).alias("p"))
-        .select(F.xxhash64("p").alias("h"), F.substring("p", 1, SAMPLE_BYTES).alias("p"))
-        .orderBy("h")
-        .limit(SAMPLE_ROWS)
-        .select("p")
-        .collect()
-    )
+    hashed = pages.select(F.coalesce(F.col(payload_col), F.lit("")).alias("p")).withColumn("h", F.xxhash64("p"))
+    # Hashes first, so that no task sends payloads that aren't chosen.
+    least = hashed.select("h").distinct().orderBy("h").limit(SAMPLE_ROWS).agg(F.max("h")).first()[0]
+    if least is None:
+        return b""
+    chosen = hashed.where(F.col("h") <= least).groupBy("h").agg(F.first(F.substring("p", 1, SAMPLE_BYTES)).alias("p"))
+    sample = chosen.orderBy("h").select("p").collect()
     samples = [r.p.encode()[:SAMPLE_BYTES] for r in sample if r.p]
     size = min(DICTIONARY_BYTES, sum(map(len, samples)) // 8)
     if len(samples) < 16 or size < 1024:
