@@ -4,12 +4,16 @@ The base detectors find e-mail addresses, IP addresses, card numbers and phone n
 is a protected entity. The information-theoretic step then asks which other words reveal one: for an entity e and a word t,
 with document frequencies over the whole corpus, the information that t gives about e is
 PMI(e; t) = log(p(e, t) / (p(e) p(t))), at most the information content IC(e) = -log p(e), which it reaches if t never
-occurs without e. Words whose PMI is ``DISCLOSURE`` of IC(e) or more, seen together in ``SUPPORT`` different contexts, are
-over the disclosure threshold; wherever they stand in a context of e they are sanitised like e itself, generalised to a tag.
+occurs without e. Words whose PMI is ``DISCLOSURE`` of IC(e) or more, together with e in ``SUPPORT`` different texts, are
+over the disclosure threshold. They are sanitised like e itself, generalised to a tag, wherever they stand in a document that
+holds e. In a document that doesn't, a disclosing word is tagged if more than half of the documents with the word hold e, for
+then a reader who meets it alone infers e; others, rare words of a few copies that hold e for instance, stay there.
 
-Words count as together with an entity within ``CONTEXT`` code points on either side; for p(t) a document counts that holds t
-at all. Contexts that are equal count once towards the support, else a copied document would seem to prove that its own words
-reveal what it holds. Only contexts, counts of words and disclosing pairs are shuffled, texts never are.
+All frequencies count rows of the table, and a word and an entity are together if one text holds both, however far apart. Words
+are runs of letters, marks and digits of any length outside base spans, lower-cased. Equal texts count once towards the
+support, else a copied document would seem to prove that its own words reveal what it holds; texts that differ at all are
+different. An entity in fewer texts than ``SUPPORT`` can't have such a word, so only the others meet words. Hashes of texts,
+entities, words and counts are shuffled; texts are not, but for more than ``BROADCAST_ROWS`` texts with terms.
 
 Offsets come from the detectors' own matches: a text split at its matches gives the gaps between them, and running sums of
 gaps and matches give the code points at which each starts. Patterns are written so that no run of characters is tried
@@ -37,10 +41,9 @@ PATTERNS = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 
-CONTEXT = 48
 SUPPORT = 3
 DISCLOSURE = 0.8
-WORD = r"\p{L}{3,}"
+WORD = r"[\p{L}\p{M}\p{N}]+"
 #: Lists up to this many rows are broadcast; longer ones are shuffled.
 BROADCAST_ROWS = 100_000
 
@@ -113,69 +116,101 @@ def _kind(rank: Column) -> Column:
     return F.get(F.array(*map(F.lit, KINDS)), rank)
 
 
-def _contexts(found: DataFrame) -> DataFrame:
-    """(digest, row, entity, context, words) of both sides of each base span; a word is (word, start, end)."""
-    # Outer explodes throughout: for inner ones Spark would find all spans once more, in a filter on their number.
-    row = F.xxhash64("doc_id", "digest").alias("row")
-    span = found.select("digest", row, "text", F.explode_outer("base").alias("s")).where("s IS NOT NULL")
-    left_from = F.greatest(F.lit(0), F.col("s.start") - CONTEXT)
-    left = F.struct(
-        left_from.alias("offset"),
-        F.substring(F.col("text"), left_from + 1, F.col("s.start") - left_from).alias("side"),
-        (left_from > 0).alias("cut_left"),
-        F.lit(False).alias("cut_right"),
-    )
-    right = F.struct(
-        F.col("s.end").alias("offset"),
-        F.substring(F.col("text"), F.col("s.end") + 1, F.lit(CONTEXT)).alias("side"),
-        F.lit(False).alias("cut_left"),
-        (F.length("text") > F.col("s.end") + CONTEXT).alias("cut_right"),
-    )
-    sides = span.select(
-        "digest",
-        "row",
-        F.concat_ws(":", _kind(F.col("s.rank")), F.lower("s.value")).alias("entity"),
-        F.explode_outer(F.array(left, right)).alias("c"),
-    )
-    # A word at the far end of a context may be a part of one.
-    whole = lambda w: ~(
-        (F.col("c.cut_left") & (w["start"] == 0)) | (F.col("c.cut_right") & (w["end"] == F.length("c.side")))
-    )
-    words = F.transform(
-        F.filter(_positions(F.col("c.side"), WORD, 4), whole),
-        lambda w: F.struct(
-            F.lower(w["value"]).alias("word"),
-            (F.col("c.offset") + w["start"]).alias("start"),
-            (F.col("c.offset") + w["end"]).alias("end"),
-        ),
+def _blanked(text: Column, base: Column) -> Column:
+    """``text`` with blanks for the characters of base spans; offsets stay."""
+    zero = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+
+    def step(s: Column, x: Column) -> Column:
+        start, end = F.greatest(s["at"], x["start"]), F.greatest(s["at"], x["end"])
+        out = F.concat(s["out"], F.substring(text, s["at"] + 1, start - s["at"]), F.repeat(F.lit(" "), end - start))
+        return F.struct(out.alias("out"), end.alias("at"))
+
+    whole = F.aggregate(base, zero, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+    return F.when(F.size(base) == 0, text).otherwise(whole)
+
+
+def _words() -> Column:
+    """The different words of a text outside its base spans, of rows of ``_found``."""
+    words = F.regexp_extract_all(_blanked(F.col("text"), F.col("base")), F.lit(WORD), F.lit(0))
+    return F.array_distinct(F.transform(words, F.lower))
+
+
+def _found(texts: DataFrame) -> DataFrame:
+    """doc_id, text, the counts by base kind, and all base spans in order."""
+    merged = F.array_sort(F.concat("email", "ip", "card", "phone"))
+    counts = [F.size(kind).cast("long").alias(f"n_{kind}") for kind in KINDS[:4]]
+    return texts.withColumns(base_spans(F.col("text"))).select("doc_id", "text", *counts, merged.alias("base"))
+
+
+def _bounded(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _holders(found: DataFrame) -> DataFrame:
+    """(key, entities, words) of the texts with base spans."""
+    entities = F.transform("base", lambda s: F.concat_ws(":", _kind(s["rank"]), F.lower(s["value"])))
+    return found.where(F.size("base") > 0).select(
+        F.xxhash64("text").alias("key"), F.array_distinct(entities).alias("entities"), _words().alias("words")
     )
-    return sides.select("digest", "row", "entity", F.xxhash64("c.side").alias("context"), words.alias("words"))
 
 
-def disclosing_terms(docs: DataFrame, contexts: DataFrame) -> DataFrame:
-    """(entity, word, pmi, ic) of the pairs over the disclosure threshold; ``docs`` has a column text."""
-    seen = contexts.select("entity", "context", "row", F.explode("words.word").alias("word"))
+def disclosing_terms(found: DataFrame, holders: DataFrame) -> DataFrame:
+    """(entity, word, n_both, n_word, pmi, ic) of the pairs over the disclosure threshold."""
+    of_entity = materialise(
+        holders.select("key", F.explode("entities").alias("entity"))
+        .groupBy("entity", "key")
+        .agg(F.count("*").alias("rows"))
+        .groupBy("entity")
+        .agg(F.sum("rows").alias("n_entity"), F.count("*").alias("texts"))
+        .where(F.col("texts") >= SUPPORT)
+        .select("entity", "n_entity"),
+        "pii-entities",
+    )
     together = materialise(
-        seen.groupBy("entity", "word")
-        .agg(F.countDistinct("context").alias("contexts"), F.countDistinct("row").alias("n_both"))
-        .where(F.col("contexts") >= SUPPORT),
+        holders.select("key", "words", F.explode("entities").alias("entity"))
+        .join(_bounded(of_entity.select("entity")), "entity")
+        .select("key", "entity", F.explode("words").alias("word"))
+        .groupBy("entity", "word", "key")
+        .agg(F.count("*").alias("rows"))
+        .groupBy("entity", "word")
+        .agg(F.sum("rows").alias("n_both"), F.count("*").alias("texts"))
+        .where(F.col("texts") >= SUPPORT),
         "pii-pairs",
     )
-    in_text = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))
-    of_word = docs.select(F.explode_outer(in_text).alias("word")).groupBy("word").agg(F.count("*").alias("n_word"))
-    of_entity = contexts.select("entity", "row").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    n = docs.count()
-    total = F.lit(float(max(n, 1)))
+    # Outer explodes of words of texts: for inner ones Spark would find all words once more, in a filter on their number.
+    of_word = found.select(F.explode_outer(_words()).alias("word")).groupBy("word").agg(F.count("*").alias("n_word"))
+    total = F.lit(float(max(found.count(), 1)))
     pmi = F.log(F.col("n_both") * total / (F.col("n_entity") * F.col("n_word")))
     ic = F.log(total / F.col("n_entity"))
     return (
         together.join(of_word, "word")
         .join(of_entity, "entity")
-        .select("entity", "word", pmi.alias("pmi"), ic.alias("ic"))
+        .select("entity", "word", "n_both", "n_word", pmi.alias("pmi"), ic.alias("ic"))
         .where((F.col("ic") > 0) & (F.col("pmi") >= DISCLOSURE * F.col("ic")))
     )
 
 
+def _term_spans(text: Column, terms: Column) -> Column:
+    """Spans of the words of ``text`` that are among ``terms``; only these are appended, as each append copies."""
+    none = F.array().cast(f"array<{SPAN}>")
+
+    def place(found: Column, gaps: Column) -> Column:
+        def step(s: Column, i: Column) -> Column:
+            start = s["at"] + F.length(F.get(gaps, i))
+            end = start + F.length(F.get(found, i))
+            span = F.struct(start.alias("start"), F.lit(4).alias("rank"), end.alias("end"))
+            out = F.when(F.array_contains(terms, F.lower(F.get(found, i))), F.array_append(s["out"], span)).otherwise(s["out"])
+            return F.struct(end.alias("at"), out.alias("out"))
+
+        zero = F.struct(F.lit(0).alias("at"), none.alias("out"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), zero, step, lambda s: s["out"])
+
+    spans = let(
+        F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda found: let(F.split(text, WORD, -1), lambda gaps: place(found, gaps))
+    )
+    return F.when(F.size(terms) > 0, spans).otherwise(none)
+
+
 def _sanitised(text: Column, spans: Column) -> Column:
     """``text`` with each span replaced by the tag of its kind."""
     zero = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
@@ -198,40 +233,35 @@ def _coded(spans: Column) -> Column:
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: doc_id, arrays of base and all spans, counts by kind, and the clean text."""
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    merged = F.array_sort(F.concat("email", "ip", "card", "phone"))
-    counts = [F.size(kind).cast("long").alias(f"n_{kind}") for kind in KINDS[:4]]
-    found = (
-        texts.withColumns(base_spans(F.col("text")))
-        .select("doc_id", "text", *counts, merged.alias("base"))
-        .withColumn("digest", F.when(F.size("base") > 0, F.sha2(F.col("text").cast("binary"), 256)))
+    found = _found(texts)
+    holders = materialise(_holders(found), "pii-holders")
+    disclosing = materialise(disclosing_terms(found, holders), "pii-terms")
+    alone = disclosing.where(2 * F.col("n_both") > F.col("n_word")).select("word").distinct()
+    anywhere = found.select(F.xxhash64("text").alias("key"), F.explode_outer(_words()).alias("word")).join(_bounded(alone), "word")
+    # The words of a text are sought among those of its own entities: it has no pair for each of its words then.
+    listed = disclosing.groupBy("entity").agg(F.collect_set("word").alias("of_entity"))
+    beside = (
+        holders.select("key", "words", F.explode("entities").alias("entity"))
+        .join(_bounded(listed), "entity")
+        .select("key", F.explode(F.array_intersect("words", "of_entity")).alias("word"))
+    )
+    held = materialise(
+        anywhere.select("key", "word")
+        .unionByName(beside)
+        .groupBy("key")
+        .agg(F.collect_set("word").alias("held")),
+        "pii-held",
     )
-    contexts = materialise(_contexts(found), "pii-contexts")
-    disclosing = materialise(disclosing_terms(texts, contexts), "pii-terms").select("entity", "word")
-    if disclosing.count() <= BROADCAST_ROWS:
-        disclosing = F.broadcast(disclosing)
-    extra = materialise(
-        contexts.select("digest", "entity", F.explode("words").alias("w"))
-        .select("digest", "entity", "w.word", F.struct("w.start", F.lit(4).alias("rank"), "w.end").alias("span"))
-        .join(disclosing, ["entity", "word"])
-        .groupBy("digest")
-        .agg(F.collect_set("span").alias("terms")),
-        "pii-spans",
-    ).withColumnRenamed("digest", "of")
-    if extra.count() <= BROADCAST_ROWS:
-        extra = F.broadcast(extra)
-    # Texts without personal data have no digest: give each a key of its own, which meets nothing.
-    key = F.coalesce("digest", F.concat(F.lit("-"), F.xxhash64("doc_id", "text").cast("string")))
     plain = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end")))
-    none = F.array().cast(f"array<{SPAN}>")
+    # Texts whose hashes collide do no harm: the words of one are looked for in the other.
     return (
-        found.withColumn("key", key)
-        .join(extra, F.col("key") == F.col("of"), "left")
+        found.join(_bounded(held), F.xxhash64("text") == F.col("key"), "left")
         .select(
             "doc_id",
             "text",
             *[f"n_{kind}" for kind in KINDS[:4]],
             plain.alias("base"),
-            F.coalesce("terms", none).alias("terms"),
+            _term_spans(_blanked(F.col("text"), F.col("base")), F.coalesce("held", F.array().cast("array<string>"))).alias("terms"),
         )
         .withColumn("spans", F.array_sort(F.concat("base", "terms")))
         .select(

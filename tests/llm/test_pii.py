@@ -97,3 +97,27 @@ def test_a_term_that_gives_an_entity_away_is_sanitised(spark):
 def test_copies_prove_nothing(spark):
     docs = spark.createDataFrame([(i, "the rarest words beside a@b.org stay as they are") for i in range(9)], "doc_id long, text string")
     assert {r.n_term for r in pii.sanitise(docs).collect()} == {0}
+
+
+def test_a_term_far_from_its_entity_is_sanitised_wherever_it_stands(spark):
+    far = "Zanzibarine K7 {} " + "plain words only here " * 5 + "a@b.org and Zanzibarine again"
+    planted = [far.format(w) for w in ("uno", "dos", "tres", "quatro")] + ["only Zanzibarine is named here"]
+    plain = [f"plain words only here and again is named {w}" for w in "abcdefghijklmnopqrstuvw"]
+    docs = spark.createDataFrame(list(enumerate(planted + plain)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in pii.sanitise(docs).collect()}
+    for i in range(4):
+        want = planted[i].replace("Zanzibarine", "[TERM]").replace("K7", "[TERM]").replace("a@b.org", "[EMAIL]")
+        assert rows[i].clean_text == want and rows[i].n_term == 3
+    assert rows[4].clean_text == "only [TERM] is named here"
+    for i in range(5, len(planted + plain)):
+        assert rows[i].clean_text == plain[i - 5] and not rows[i].spans
+
+
+def test_a_word_that_mostly_stands_without_its_entity_stays_there(spark):
+    planted = [f"{w} with Zanzibarine a@b.org" for w in ("uno", "dos", "tres", "quatro")]
+    named = [f"{w} Zanzibarine" for w in ("cinco", "seis", "siete", "ocho", "nueve")]
+    plain = [f"plain with uno dos tres {i}" for i in range(2000)]
+    docs = spark.createDataFrame(list(enumerate(planted + named + plain)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in pii.sanitise(docs).collect()}
+    assert all(rows[i].clean_text.endswith("with [TERM] [EMAIL]") for i in range(4))
+    assert all(rows[4 + i].clean_text == text for i, text in enumerate(named + plain))
