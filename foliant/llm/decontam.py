@@ -7,11 +7,16 @@ and a document; along it the two are compared word by word, and the best segment
 -2, is the overlap. A document is contaminated by an item if that segment has ``MIN_MATCHES`` matching words, or, for
 items so short, ``MIN_SHARE`` of the item's words.
 
+An item of fewer words than a mask is long, ``SPAN``, has no masked window. The hash of its whole word sequence meets the hashes of
+the documents' windows of the same length, for each length that such items have, so a document is contaminated by it if it holds it
+word for word.
+
 Only alignments are shuffled, combined in each task; documents that have one are read again for their words. A passage in a
 third of all documents makes alignments in proportion to its occurrences.
 
-Cases: words are runs of letters and digits, lower-cased, so case, punctuation and white space don't count. A null or
-empty text has no words. Texts and items of fewer words than a mask is long, ``SPAN``, have no window and aren't judged.
+Cases: words are runs of letters and digits, lower-cased, so case, punctuation and white space don't count; in scripts written
+without spaces each letter is a word. A null or empty text has no words. A document of fewer words than ``SPAN`` is judged by
+short items only. An item of one word contaminates every document with that word.
 Rows that share a doc_id are one document; null ids are one document too. Repeated items each give their rows. Without items
 there are no rows. Other columns are ignored.
 """
@@ -21,12 +26,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import materialise
+from foliant.llm.common import let, materialise
 
 #: The positions of a window that count: three masks of weight 7 and span 11. Of passages of 14 and 30 words with a tenth of
 #: the words replaced at random they hit 94 and 100 in a hundred (simulated).
 MASKS = ((0, 4, 5, 7, 8, 9, 10), (0, 1, 2, 3, 4, 8, 10), (0, 1, 3, 6, 7, 9, 10))
 SPAN = 11
+#: Letters of scripts without spaces between words.
+UNSPACED = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}])"
 MIN_MATCHES = 13
 MIN_SHARE = 0.7
 #: Seed tables and lists of documents with hits up to this many rows are broadcast; larger ones are shuffled.
@@ -35,7 +42,11 @@ BROADCAST_HITS = 1_000_000
 
 
 def word_hashes(text: Column) -> Column:
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    spaced = let(
+        F.lower(F.coalesce(text, F.lit(""))),
+        lambda t: F.when(t.rlike(UNSPACED), F.regexp_replace(t, UNSPACED, " $1 ")).otherwise(t),
+    )
+    words = F.filter(F.split(spaced, r"[^\p{L}\p{N}]+"), lambda w: w != "")
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
@@ -60,6 +71,34 @@ def seeds(items: DataFrame, id_col: str, text_col: str, out: str) -> DataFrame:
     return exploded.select(out, (F.col("at") % (F.col("n") - (SPAN - 1))).cast("int").alias("at"), "seed")
 
 
+def short_hits(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame | None:
+    """(doc_id, item_id, diagonal): where a document first holds an item of under ``SPAN`` words; None without such items."""
+    items = benchmark.select("item_id", word_hashes(F.col("text")).alias("words"))
+    items = items.where(F.size("words").between(1, SPAN - 1))
+    whole = items.select("item_id", F.size("words").alias("n"), F.xxhash64(F.size("words"), "words").alias("seed"))
+    lengths = sorted(row.n for row in whole.select("n").distinct().collect())
+    if not lengths:
+        return None
+    if whole.count() <= BROADCAST_SEEDS:
+        whole = F.broadcast(whole)
+
+    def of_length(n: int) -> Column:
+        last = F.size("words") - n
+        starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+        seed = lambda i: F.xxhash64(F.lit(n), F.slice("words", i + 1, n))
+        return F.transform(starts, lambda i: F.struct(i.alias("at"), seed(i).alias("seed")))
+
+    hashed = docs.select(F.col(id_col).alias("doc_id"), word_hashes(F.col(text_col)).alias("words"))
+    windows = hashed.select("doc_id", F.concat(*map(of_length, lengths)).alias("windows"))
+    return (
+        windows.select("doc_id", F.explode_outer("windows").alias("w"))
+        .select("doc_id", "w.at", "w.seed")
+        .join(whole.select("item_id", "seed"), "seed")
+        .groupBy("doc_id", "item_id")
+        .agg(F.min("at").alias("diagonal"))
+    )
+
+
 def _best_segment(doc: Column, item: Column) -> Column:
     """Matches of the best segment of two aligned arrays; a match scores 1, a substitution -2."""
     pairs = F.zip_with(doc, item, lambda a, b: F.coalesce((a == b).cast("int"), F.lit(0)))
@@ -84,13 +123,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     test = seeds(benchmark, "item_id", "text", "item_id").withColumnRenamed("at", "item_at")
     if test.count() <= BROADCAST_SEEDS:
         test = F.broadcast(test)
-    hits = materialise(
+    hits = (
         seeds(docs, id_col, text_col, "doc_id")
         .join(test, "seed")
         .select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal"))
-        .distinct(),
-        "seed-hits",
+        .distinct()
     )
+    short = short_hits(docs, benchmark, id_col, text_col)
+    hits = materialise(hits if short is None else hits.unionByName(short), "seed-hits")
 
     # Only documents with a hit are read for their words again.
     hit_ids = hits.select(F.col("doc_id").alias("hit_id")).distinct()

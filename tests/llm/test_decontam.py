@@ -83,3 +83,24 @@ def test_empty_tables(spark):
     assert decontam.find_leaks(none, bench).collect() == []
     assert decontam.find_leaks(some, bench).collect() == []
     assert decontam.drop_leaks(some, bench).count() == 1
+
+
+def test_short_items_and_unspaced_scripts(spark):
+    passage = "日本の首都は東京であり、世界最大の都市圏を形成している"
+    items = [(0, "What is the capital of France?"), (1, "zanzibar"), (2, "東京はどこ"), (3, passage), (4, "one two three four five six seven eight nine ten")]
+    docs = [
+        (10, "q: WHAT is the capital -- of france, a: Paris"),
+        (11, "what is the capital of old france"),
+        (12, "zanzibar"),
+        (13, "zanzibars"),
+        (14, "教えて、東京はどこですか"),
+        (15, f"前置き{passage}後書き"),
+        (16, "zero one two three four five six seven eight nine ten eleven one two three four five six seven eight nine ten"),
+        (17, "one two three four five six seven eight nine"),
+        (18, "東京 は 京都 より 大きい"),
+    ]
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.matched, r.item_words, r.first_word) for r in decontam.find_leaks(frame, bench).collect()}
+    n = len(passage) - 1
+    assert got == {(10, 0, 6, 6, 1), (12, 1, 1, 1, 0), (14, 2, 5, 5, 3), (15, 3, n, n, 3), (16, 4, 10, 10, 1)}
+    assert {r.doc_id for r in decontam.drop_leaks(frame, bench).collect()} == {11, 13, 17, 18}
