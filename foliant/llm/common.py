@@ -20,11 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which driver and executors share.
 
-    Only where it is unset, as in local tests, a temporary folder takes its place.
+    Only where it is unset and the master is local, as in tests, a temporary folder takes its place: on a cluster each machine
+    would write to a folder of its own.
     """
     context = spark.sparkContext
     root = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not root:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="foliant-")
         context.setCheckpointDir(root)
     return root.rstrip("/")
@@ -45,13 +48,6 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 2_000) -> None:
-    """Hand texts to Python workers in batches of ``rows`` at most: they bound a worker's memory."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows:
-        spark.conf.set(key, str(rows))
-
-
 def discard(*frames: DataFrame) -> None:
     """Delete the files of materialised frames that nothing will read again."""
     for df in frames:
@@ -82,3 +78,25 @@ def hex_sha256(text: Column) -> Column:
 def let(value: Column, use) -> Column:
     """``use(value)`` with the value computed once, however often ``use`` names it."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def text_key(text: Column) -> Column:
+    """128 bits that stand for a text; a null text is an empty one."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+
+
+def fresh_names(taken: list[str], *stems: str) -> list[str]:
+    """A name for each stem that no column of ``taken`` has, whatever its case."""
+    used, out = {name.lower() for name in taken}, []
+    for stem in stems:
+        name = f"_{stem}"
+        while name.lower() in used:
+            name = f"_{name}"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+def bounded(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` marked for broadcast if it has ``rows`` rows at most; its rows must be of bounded size."""
+    return F.broadcast(df) if df.count() <= rows else df

@@ -17,8 +17,10 @@ third of all documents makes alignments in proportion to its occurrences.
 Cases: words are runs of letters and digits, lower-cased, so case, punctuation and white space don't count; in scripts written
 without spaces each letter is a word. A null or empty text has no words. A document of fewer words than ``SPAN`` is judged by
 short items only. An item of one word contaminates every document with that word.
-Rows that share a doc_id are one document; null ids are one document too. Repeated items each give their rows. Without items
-there are no rows. Other columns are ignored.
+Texts are judged, not ids: rows that agree in id and text are one document, rows that share an id but not a text, or have none, are
+documents of their own, and a clean row never goes for what another row holds. Repeated items each give their rows; items without
+id are one item for each text. Without items there are no rows. Other columns are ignored, or carried along by ``drop_leaks``,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import let, materialise
+from foliant.llm.common import bounded, fresh_names, let, materialise, text_key
 
 #: The positions of a window that count: three masks of weight 7 and span 11. Of passages of 14 and 30 words with a tenth of
 #: the words replaced at random they hit 94 and 100 in a hundred (simulated).
@@ -61,26 +63,23 @@ def masked_windows(hashes: Column) -> Column:
     return F.concat(*[under(k, mask) for k, mask in enumerate(MASKS)])
 
 
-def seeds(items: DataFrame, id_col: str, text_col: str, out: str) -> DataFrame:
-    """(out, at, seed): the hash of each masked window, and its first word's place."""
-    hashed = items.select(F.col(id_col).alias(out), word_hashes(F.col(text_col)).alias("words"))
-    windows = hashed.select(out, F.size("words").alias("n"), masked_windows(F.col("words")).alias("windows"))
+def seeds(texts: DataFrame) -> DataFrame:
+    """(key, at, seed): the hash of each masked window of (key, text), and its first word's place."""
+    hashed = texts.select("key", word_hashes(F.col("text")).alias("words"))
+    windows = hashed.select("key", F.size("words").alias("n"), masked_windows(F.col("words")).alias("windows"))
     # Outer, as for an inner one Spark would compute all windows once more, in a filter on their number. The words stay
     # behind: a long text's would be copied for each of its windows.
-    exploded = windows.select(out, "n", F.posexplode_outer("windows").alias("at", "seed")).where("seed IS NOT NULL")
-    return exploded.select(out, (F.col("at") % (F.col("n") - (SPAN - 1))).cast("int").alias("at"), "seed")
+    exploded = windows.select("key", "n", F.posexplode_outer("windows").alias("at", "seed")).where("seed IS NOT NULL")
+    return exploded.select("key", (F.col("at") % (F.col("n") - (SPAN - 1))).cast("int").alias("at"), "seed")
 
 
-def short_hits(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame | None:
-    """(doc_id, item_id, diagonal): where a document first holds an item of under ``SPAN`` words; None without such items."""
-    items = benchmark.select("item_id", word_hashes(F.col("text")).alias("words"))
-    items = items.where(F.size("words").between(1, SPAN - 1))
-    whole = items.select("item_id", F.size("words").alias("n"), F.xxhash64(F.size("words"), "words").alias("seed"))
+def short_hits(docs: DataFrame, items: DataFrame) -> DataFrame | None:
+    """(key, item, diagonal): where a text first holds an item of under ``SPAN`` words; None without such items."""
+    hashed = items.select("key", word_hashes(F.col("text")).alias("words")).where(F.size("words").between(1, SPAN - 1))
+    whole = hashed.select(F.col("key").alias("item"), F.size("words").alias("n"), F.xxhash64(F.size("words"), "words").alias("seed"))
     lengths = sorted(row.n for row in whole.select("n").distinct().collect())
     if not lengths:
         return None
-    if whole.count() <= BROADCAST_SEEDS:
-        whole = F.broadcast(whole)
 
     def of_length(n: int) -> Column:
         last = F.size("words") - n
@@ -88,13 +87,14 @@ def short_hits(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str
         seed = lambda i: F.xxhash64(F.lit(n), F.slice("words", i + 1, n))
         return F.transform(starts, lambda i: F.struct(i.alias("at"), seed(i).alias("seed")))
 
-    hashed = docs.select(F.col(id_col).alias("doc_id"), word_hashes(F.col(text_col)).alias("words"))
-    windows = hashed.select("doc_id", F.concat(*map(of_length, lengths)).alias("windows"))
+    windows = docs.select("key", word_hashes(F.col("text")).alias("words")).select(
+        "key", F.concat(*map(of_length, lengths)).alias("windows")
+    )
     return (
-        windows.select("doc_id", F.explode_outer("windows").alias("w"))
-        .select("doc_id", "w.at", "w.seed")
-        .join(whole.select("item_id", "seed"), "seed")
-        .groupBy("doc_id", "item_id")
+        windows.select("key", F.explode_outer("windows").alias("w"))
+        .select("key", "w.at", "w.seed")
+        .join(bounded(whole.select("item", "seed"), BROADCAST_SEEDS), "seed")
+        .groupBy("key", "item")
         .agg(F.min("at").alias("diagonal"))
     )
 
@@ -118,55 +118,66 @@ def _best_segment(doc: Column, item: Column) -> Column:
     return F.aggregate(pairs, zero, step, lambda s: s["found"])
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each contaminated document and item: doc_id, item_id, matched words, words of the item, first word."""
-    test = seeds(benchmark, "item_id", "text", "item_id").withColumnRenamed("at", "item_at")
-    if test.count() <= BROADCAST_SEEDS:
-        test = F.broadcast(test)
+def text_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(key, item, matched, item_words, first_word) of the contaminated texts, from (key, text) of documents and of items.
+
+    Of rows with equal keys one text is judged.
+    """
+    test = seeds(items).select(F.col("key").alias("item"), F.col("at").alias("item_at"), "seed")
     hits = (
-        seeds(docs, id_col, text_col, "doc_id")
-        .join(test, "seed")
-        .select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal"))
+        seeds(docs)
+        .join(bounded(test, BROADCAST_SEEDS), "seed")
+        .select("key", "item", (F.col("at") - F.col("item_at")).alias("diagonal"))
         .distinct()
     )
-    short = short_hits(docs, benchmark, id_col, text_col)
+    short = short_hits(docs, items)
     hits = materialise(hits if short is None else hits.unionByName(short), "seed-hits")
 
-    # Only documents with a hit are read for their words again.
-    hit_ids = hits.select(F.col("doc_id").alias("hit_id")).distinct()
-    if hits.count() <= BROADCAST_HITS:
-        hit_ids = F.broadcast(hit_ids)
-    held = docs.select(F.col(id_col).alias("of"), F.col(text_col).alias("text"))
-    held = held.join(hit_ids, F.col("of").eqNullSafe(F.col("hit_id")), "left_semi")
-    words = held.select("of", word_hashes(F.col("text")).alias("words"))
-    items = benchmark.select(F.col("item_id").alias("of_item"), word_hashes(F.col("text")).alias("item"))
+    # Only texts with a hit are read for their words again, each once, however many rows hold it.
+    hit = bounded(hits.select(F.col("key").alias("hit")).distinct(), BROADCAST_HITS)
+    held = docs.join(hit, F.col("key") == F.col("hit"), "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    words = held.select("key", word_hashes(F.col("text")).alias("words"))
+    of_item = items.groupBy(F.col("key").alias("item")).agg(F.first("text").alias("text"))
+    of_item = of_item.select("item", word_hashes(F.col("text")).alias("item_hashes"))
 
     from_doc = F.greatest(F.lit(0), F.col("diagonal"))
     from_item = F.greatest(F.lit(0), -F.col("diagonal"))
-    length = F.greatest(F.lit(0), F.least(F.size("item") - from_item, F.size("words") - from_doc))
-    aligned = hits.join(words, F.col("doc_id").eqNullSafe(F.col("of"))).join(
-        items, F.col("item_id").eqNullSafe(F.col("of_item"))
-    )
-    matched = _best_segment(F.slice("words", from_doc + 1, length), F.slice("item", from_item + 1, length))
-    found = aligned.select(
-        "doc_id", "item_id", from_doc.alias("first_word"), F.size("item").alias("item_words"), matched.alias("matched")
+    length = F.greatest(F.lit(0), F.least(F.size("item_hashes") - from_item, F.size("words") - from_doc))
+    matched = _best_segment(F.slice("words", from_doc + 1, length), F.slice("item_hashes", from_item + 1, length))
+    found = (
+        hits.join(words, "key")
+        .join(of_item, "item")
+        .select("key", "item", from_doc.alias("first_word"), F.size("item_hashes").alias("item_words"), matched.alias("matched"))
     )
-    best = found.groupBy("doc_id", "item_id").agg(
+    best = found.groupBy("key", "item").agg(
         F.max(F.struct("matched", (-F.col("first_word")).alias("before"), "item_words")).alias("best")
     )
     enough = F.least(F.lit(MIN_MATCHES), F.ceil(F.col("best.item_words") * F.lit(MIN_SHARE)))
     return best.where(F.col("best.matched") >= enough).select(
-        "doc_id",
-        "item_id",
+        "key",
+        "item",
         F.col("best.matched").cast("long").alias("matched"),
         F.col("best.item_words").cast("long").alias("item_words"),
         (-F.col("best.before")).cast("long").alias("first_word"),
     )
 
 
+def _keyed(df: DataFrame, text_col: str) -> DataFrame:
+    return df.select(text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row for each contaminated document and item: doc_id, item_id, matched words, words of the item, first word."""
+    leaks = materialise(text_leaks(_keyed(docs, text_col), _keyed(benchmark, "text")), "leaks")
+    items = benchmark.select("item_id", text_key(F.col("text")).alias("item"))
+    names = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("key"))
+    named = names.join(bounded(leaks.select("key").distinct(), BROADCAST_HITS), "key", "left_semi").distinct()
+    return named.join(leaks, "key").join(items, "item").select("doc_id", "item_id", "matched", "item_words", "first_word")
+
+
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, max_broadcast: int = BROADCAST_HITS) -> DataFrame:
-    """The rows of ``docs`` that no item contaminates, with all their columns."""
-    leaked = materialise(find_leaks(docs, benchmark).select(F.col("doc_id").alias("leaked_id")).distinct(), "leaks")
-    if leaked.count() <= max_broadcast:
-        leaked = F.broadcast(leaked)
-    return docs.join(leaked, F.col("doc_id").eqNullSafe(F.col("leaked_id")), "left_anti")
+    """The rows of ``docs`` whose texts no item contaminates, with all their columns."""
+    (name,) = fresh_names(docs.columns, "leaked")
+    leaks = text_leaks(_keyed(docs, "text"), _keyed(benchmark, "text"))
+    leaked = bounded(materialise(leaks.select(F.col("key").alias(name)).distinct(), "leaks"), max_broadcast)
+    return docs.join(leaked, text_key(F.col("text")) == F.col(name), "left_anti")

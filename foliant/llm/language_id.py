@@ -5,7 +5,9 @@ For each language a tree of byte contexts of up to ``ORDER`` bytes holds how oft
 share d / (n + d), d being the number of distinct followers) to the next shorter context, at last to a uniform byte.
 The statistics are frozen after training, so the cost of a byte depends on it and the ``ORDER`` bytes before it only,
 and a text's code length is a sum that any split of the text adds up to. The language with the shortest code wins;
-the score is its posterior probability under equal priors.
+the score is its posterior probability under equal priors. A posterior only compares languages: the text of a language that
+wasn't learned, or of none, has a best one too. What tells such a text is its code length: ``bits_per_byte`` under the winner is
+far above that of the documents it was trained on, whose ``QUANTILE`` the model keeps, by language, as ``usual``.
 
 Training: of the documents with a label and a CRC-32 of the id that isn't 0 modulo 5, those with the least hashes of the
 id, in expectation ``TRAIN_BYTES`` of text for each language. That bound is on training alone; prediction reads every
@@ -14,6 +16,8 @@ byte. Counting runs on the executors, and only the counts of contexts reach the
 Prediction runs on Arrow batches. Costs are looked up in a table of ``SLOTS`` entries that each worker fills as contexts
 turn up, and contexts that aren't in it are coded from the tree, so memory is bounded and results don't depend on the table.
 
+Of more than ``MOST_LANGUAGES`` labels those with the most text are learned, so the model's size is bounded.
+
 Cases: a null text, or one without a letter, is ``und`` with score 0; so is all if nothing can be learned. Ties go to the
 first language by name. A null id is held out. Repeated rows are predicted alike. Other columns are ignored.
 """
@@ -27,14 +31,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import small_batches
-
 ORDER = 3
 FOLDS = 5
 TRAIN_BYTES = 2_000_000
 SLOTS = 1 << 20
+#: Labels that are learned at most.
+MOST_LANGUAGES = 500
 #: Bytes that are coded at once.
 PIECE = 1 << 20
+#: The share of a language's training texts whose bits per byte are at most its ``usual`` ones.
+QUANTILE = 0.99
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -82,13 +88,14 @@ class ContextTree:
 class LanguageModel:
     """The trees of all languages and a table of costs that were asked for."""
 
-    def __init__(self, trees: dict[str, ContextTree]):
+    def __init__(self, trees: dict[str, ContextTree], usual: dict[str, float] | None = None):
         self.names = sorted(trees)
         self.trees = [trees[name] for name in self.names]
+        self.usual = usual or {}
         self.shift = None
 
     def __getstate__(self):
-        return {"names": self.names, "trees": self.trees, "shift": None}
+        return {"names": self.names, "trees": self.trees, "usual": self.usual, "shift": None}
 
     def _prepare(self) -> None:
         slots = SLOTS
@@ -132,13 +139,15 @@ class LanguageModel:
                     bits[t] += cost[a:b].sum(0, dtype=np.float64)
         return bits
 
-    def classify(self, texts: pa.Array) -> tuple[list[str], list[float]]:
+    def classify(self, texts: pa.Array) -> tuple[list[str], list[float], list[float]]:
+        """The language, score and bits per byte of each text."""
         data, ends = padded(texts)
         bits = self.code_lengths(data, ends)
         best = bits.argmin(1)
         least = bits[np.arange(len(bits)), best]
         score = 1 / np.exp2(np.minimum(0, least[:, None] - bits)).sum(1)
-        return [self.names[i] for i in best], score.tolist()
+        size = np.diff(np.concatenate([[0], ends])) - ORDER
+        return [self.names[i] for i in best], score.tolist(), (least / np.maximum(1, size)).tolist()
 
 
 def padded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -169,17 +178,23 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def train(docs: DataFrame, train_bytes: int = TRAIN_BYTES) -> LanguageModel:
-    """Learn from text and lang of the documents that aren't held out."""
-    small_batches(docs.sparkSession)
+def _sample(docs: DataFrame, train_bytes: int) -> DataFrame:
+    """(lang, text): for each label some ``train_bytes`` of text, the documents with the least hashes of the id and text."""
     labelled = docs.where(~held_out()).where("lang IS NOT NULL AND text IS NOT NULL AND text <> ''").select("doc_id", "lang", "text")
     sizes = labelled.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes"))
+    # Beyond so many labels, the most frequent are learned; the table of them is then of bounded size.
+    sizes = sizes.orderBy(F.col("bytes").desc(), "lang").limit(MOST_LANGUAGES)
     part = F.least(F.lit(1.0), F.lit(float(train_bytes)) / F.col("bytes"))
-    sample = (
+    return (
         labelled.join(F.broadcast(sizes), "lang")
         .where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.ceil(part * (1 << 20)))
         .select("lang", "text")
     )
+
+
+def train(docs: DataFrame, train_bytes: int = TRAIN_BYTES) -> LanguageModel:
+    """Learn from text and lang of the documents that aren't held out."""
+    sample = _sample(docs, train_bytes)
     counts = sample.mapInArrow(_count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
     langs = np.array(counts.column("lang").to_pylist(), object)
     codes = counts.column("code").to_numpy().astype(np.uint32)
@@ -187,22 +202,31 @@ def train(docs: DataFrame, train_bytes: int = TRAIN_BYTES) -> LanguageModel:
     return LanguageModel({lang: ContextTree(codes[langs == lang], numbers[langs == lang]) for lang in sorted(set(langs))})
 
 
-def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """All rows and columns of ``docs``, with a struct ``language`` of lang_pred and score."""
-    nothing = F.struct(F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+def learn_usual(docs: DataFrame, model: LanguageModel, train_bytes: int = TRAIN_BYTES) -> LanguageModel:
+    """``model`` with the usual bits per byte of each language, from the texts it was trained on."""
+    found = identify(_sample(docs, train_bytes), model, out="found").where("found.lang_pred = lang")
+    usual = found.groupBy("lang").agg(F.percentile_approx("found.bits_per_byte", QUANTILE, 1000).alias("bits")).collect()
+    model.usual = {row.lang: row.bits for row in usual}
+    return model
+
+
+def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", out: str = "language") -> DataFrame:
+    """All rows and columns of ``docs``, with a struct ``out`` of lang_pred, score and bits_per_byte."""
+    kind = "struct<lang_pred: string, score: double, bits_per_byte: double>"
+    nothing = F.struct(F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("bits_per_byte"))
     if not model.names:
-        return docs.withColumn("language", nothing)
-    small_batches(docs.sparkSession)
+        return docs.withColumn(out, nothing.cast(kind))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.arrow_udf("struct<lang_pred: string, score: double>")
+    @F.arrow_udf(kind)
     def predict(texts: pa.Array) -> pa.Array:
-        names, scores = shared.value.classify(texts)
-        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
+        names, scores, rates = shared.value.classify(texts)
+        columns = [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rates, pa.float64())]
+        return pa.StructArray.from_arrays(columns, ["lang_pred", "score", "bits_per_byte"])
 
     text = F.col(text_col)
     has_letter = F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
-    return docs.withColumn("language", predict(text)).withColumn("language", F.when(has_letter, F.col("language")).otherwise(nothing))
+    return docs.withColumn(out, predict(text)).withColumn(out, F.when(has_letter, F.col(out)).otherwise(nothing.cast(kind)))
 
 
 def language_report(docs: DataFrame) -> DataFrame:

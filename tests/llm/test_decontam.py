@@ -3,6 +3,7 @@
 import math
 import random
 import re
+from collections import Counter
 
 from foliant.llm import decontam
 
@@ -72,8 +73,30 @@ def test_leaks_equal_brute_force(spark):
     caught = {d for d, _ in got}
     assert {100 + i for i in range(6)} <= caught and {200 + i for i in range(3, 6)} <= caught
     assert not caught & set(range(30))
-    kept = {r.doc_id for r in decontam.drop_leaks(frame, bench).collect()}
-    assert kept == {d for d, _ in docs} - caught
+    # Rows are judged by their texts: those that share an id with a leaked one, or have none, stay if they are clean.
+    leaked = {text for text, _ in brute([(text, text) for _, text in docs], items)}
+    kept = Counter((r.doc_id, r.text) for r in decontam.drop_leaks(frame, bench).collect())
+    assert kept == Counter((d, text) for d, text in docs if text not in leaked)
+    assert kept[(None, "nothing here")] == 1 and kept[(400, "plain " * 40)] == 1 and kept[(None, items[3][1])] == 0
+
+
+def test_rows_without_ids_and_clashing_columns(spark):
+    """A tenth of all rows without id, copies of leaked and clean texts, and columns with the names that the operator uses."""
+    dice = random.Random(9)
+    say = lambda n: " ".join(dice.choice(WORDS) for _ in range(n))
+    items = [(i, say(30)) for i in range(4)] + [(None, say(30)), (2, say(6))]
+    texts = [say(60) for _ in range(20)] + [f"{say(10)} {q} {say(10)}" for _, q in items]
+    docs = [(None if dice.random() < 0.1 else dice.randrange(60), dice.choice(texts)) for _ in range(200)]
+    names = "doc_id long, text string, key string, item_id string, leaked_id string, _leaked string, _LEAKED2 string, words int"
+    frame = spark.createDataFrame([(*r, "k", "i", "l", "m", "n", 1) for r in docs], names)
+    bench = spark.createDataFrame([(*r, "k") for r in items], "item_id long, text string, key string")
+    leaked = set(texts[20:])
+    kept = decontam.drop_leaks(frame, bench)
+    assert kept.columns == frame.columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter(r for r in docs if r[1] not in leaked)
+    assert Counter((r.doc_id, r.text) for r in decontam.drop_leaks(frame, bench, max_broadcast=0).collect()) == Counter(r for r in docs if r[1] not in leaked)
+    found = Counter((r.doc_id, r.item_id) for r in decontam.find_leaks(frame, bench).collect())
+    assert found == Counter((d, items[texts.index(t) - 20][0]) for d, t in {r for r in docs if r[1] in leaked})
 
 
 def test_empty_tables(spark):
