@@ -12,8 +12,8 @@ least ``num / den``. Documents with equal shingle sets are one class and one row
    its prefix, hot ones last, so that two such sets meet as well. Sets that share a signature fall in the same
    candidate component. Of the sets that a worker holds at a time a signature is kept once, its other sets being tied to the
    first by signatures of their own; a signature that a third of all documents have costs a few rows a worker.
-2. Product. The rows of a candidate component are dealt into row blocks of bounded weight, and each pair of blocks is one
-   piece of work: row by row, overlap counts with all rows that are not yet in the same group are accumulated column block
+2. Product. The rows of a candidate component are dealt by hash into row blocks, each expected to have half of a piece's rows and
+   shingles at most, and each pair of blocks is one piece of work, so that a large group is many pieces: row by row, overlap counts with all rows that are not yet in the same group are accumulated column block
    by column block, first over the rarest columns of each partner's prefix, after which pairs without an overlap are
    discarded, and rows out of the size bounds never enter. A piece gives a spanning forest of its links, never all pairs.
 3. Components of those forests by alternating star passes.
@@ -23,7 +23,8 @@ The result is exact but for collisions of 64-bit shingle hashes; no link between
 Cases: words are what is between ASCII white space, A to Z lower-cased; a text of fewer than ``k`` words is one shingle;
 a null text or one without words has none and links with nothing. A component's id is its least doc_id; null ids are
 ignored in that unless there is no other. Rows that repeat a text are in one class; rows that share an id but not a text are
-documents of their own. An empty table gives no rows. Other columns are ignored.
+documents of their own. An empty table gives no rows. ``ngram_components`` ignores other columns, ``keep_one`` carries them along,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -40,14 +41,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from foliant.llm.common import discard, materialise, small_batches
+from foliant.llm.common import bounded, discard, fresh_names, materialise
 from foliant.llm.components import connected_components
 
 SHINGLE = 5
 SIMILARITY = (80, 100)
-#: A row block holds about this many documents and this many shingles at most.
-BLOCK_ROWS = 2048
-BLOCK_SHINGLES = 4_000_000
+#: A piece, two row blocks, holds about this many documents and this many shingles at most.
+PIECE_ROWS = 1024
+PIECE_SHINGLES = 4_000_000
 #: Signatures that a worker holds at once to tie equal ones.
 SIGNATURES_HELD = 2_000_000
 #: Lists of ids up to this many rows are broadcast; longer ones are shuffled.
@@ -169,34 +170,33 @@ def _longs(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def describe(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, text_hash, n, digest, node) of every row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for text in batch.column(2):
-                shingles = shingle_set(text.as_py(), k)
-                found.append((len(shingles), set_digest(shingles)))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    batch.column(1),
-                    pa.array([n for n, _ in found], pa.int64()),
-                    pa.array([d for _, d in found], pa.binary()),
-                    pa.array([node_of(d) for _, d in found], pa.int64()),
-                ],
-                ["doc_id", "text_hash", "n", "digest", "node"],
-            )
-
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInArrow(run, "doc_id long, text_hash long, n long, digest binary, node long")
+#: What ``sign`` yields: rows of signatures (sig, node), and for each document a row with the null signature.
+SIGNED = "sig long, node long, doc_id long, text_hash long, n long, digest binary"
 
 
 def sign(docs: DataFrame, k: int, num: int, den: int, hot: np.ndarray = NONE) -> DataFrame:
-    """(signature, node) of every document; of sets held together, those that share one are tied to the first."""
+    """(doc_id, text_hash, n, digest, node) of every document, and (sig, node) of its signatures, each text being read once.
+
+    Of sets held together, those that share a signature are tied to the first.
+    """
 
     shared = docs.sparkSession.sparkContext.broadcast(hot)
+    names = [part.split()[0] for part in SIGNED.split(", ")]
+
+    def signature_rows(sig: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+        none = [pa.nulls(len(sig), kind) for kind in (pa.int64(), pa.int64(), pa.int64(), pa.binary())]
+        return pa.RecordBatch.from_arrays([_longs(sig), _longs(node), *none], names)
+
+    def document_rows(ids: pa.Array, hashes: pa.Array, found: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        columns = [
+            pa.nulls(len(found), pa.int64()),
+            pa.array([node_of(d) for _, d in found], pa.int64()),
+            ids,
+            hashes,
+            pa.array([n for n, _ in found], pa.int64()),
+            pa.array([d for _, d in found], pa.binary()),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names)
 
     def tied(found: list[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         sig = np.concatenate([s for _, s in found])
@@ -214,14 +214,16 @@ def sign(docs: DataFrame, k: int, num: int, den: int, hot: np.ndarray = NONE) ->
         sig, node = sig[order], node[order]
         for at in range(0, len(sig), 100_000):
             cut = slice(at, at + 100_000)
-            yield pa.RecordBatch.from_arrays([_longs(sig[cut]), _longs(node[cut])], ["sig", "node"])
+            yield signature_rows(sig[cut], node[cut])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, seen, size = [], set(), 0
         for batch in batches:
-            for text in batch.column(0):
+            described = []
+            for text in batch.column(2):
                 shingles = shingle_set(text.as_py(), k)
                 digest = set_digest(shingles)
+                described.append((len(shingles), digest))
                 if len(shingles) and digest not in seen:
                     seen.add(digest)
                     found.append((node_of(digest), signatures(shingles, num, den, shared.value)))
@@ -229,16 +231,18 @@ def sign(docs: DataFrame, k: int, num: int, den: int, hot: np.ndarray = NONE) ->
                 if size >= SIGNATURES_HELD:
                     yield from tied(found)
                     found, seen, size = [], set(), 0
+            yield document_rows(batch.column(0), batch.column(1), described)
         if found:
             yield from tied(found)
 
-    return docs.select("text").mapInArrow(run, "sig long, node long")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, SIGNED)
 
 
 def _placed_sets(docs: DataFrame, k: int) -> DataFrame:
     """(root, blocks, block, digest, shingles) of rows (text, member, root, blocks) whose set is the member's.
 
-    The set comes as packed 64-bit numbers; a row whose id stands for another text's set is left out.
+    The set comes as packed 64-bit numbers; a row whose keys stand for another text's set is left out, and so are repeats of a set
+    that a worker has placed.
     """
     kinds = (pa.binary(), pa.int64(), pa.int32(), pa.binary())
 
@@ -249,12 +253,18 @@ def _placed_sets(docs: DataFrame, k: int) -> DataFrame:
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for batch in batches:
             held, size = [], 0
             for text, member, root, blocks in zip(*batch.columns, strict=True):
+                digest = member.as_py()
+                if digest in seen:
+                    continue
                 shingles = shingle_set(text.as_py(), k)
-                digest = set_digest(shingles)
-                if digest == member.as_py():
+                if set_digest(shingles) == digest:
+                    if len(seen) >= SIGNATURES_HELD:
+                        seen.clear()
+                    seen.add(digest)
                     held.append((digest, root.as_py(), blocks.as_py(), shingles.tobytes()))
                     size += shingles.nbytes
                 if size > 4 << 20:
@@ -340,19 +350,24 @@ def ngram_components(
 ) -> DataFrame:
     """One row for each row of ``docs``: doc_id, text_hash, n_shingles, component_id."""
     num, den = similarity
-    small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = materialise(describe(docs, k), "ngram-rows")
+    hot = hot_shingles(docs, k)
+    signed = materialise(sign(docs, k, num, den, hot), "ngram-signed")
+    rows = signed.where("sig IS NULL").select("doc_id", "text_hash", "n", "digest", "node")
+    # The row that stands for a class: the least id, if any row has one, and a hash of its text.
+    of_id = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash")
     classes = materialise(
         rows.where("n > 0")
         .groupBy("digest")
-        .agg(F.min("doc_id").alias("least"), F.max("n").alias("n"), F.max("node").alias("node")),
+        .agg(F.min(of_id).alias("first"), F.max("n").alias("n"), F.max("node").alias("node"))
+        .select("digest", F.col("first.doc_id").alias("least"), F.col("first.text_hash").alias("text_hash"), "n", "node"),
         "ngram-classes",
     )
 
     hub = F.min("node").over(Window.partitionBy("sig"))
     edges = (
-        sign(docs, k, num, den, hot_shingles(docs, k))
+        signed.where("sig IS NOT NULL")
+        .select("sig", "node")
         .withColumn("hub", hub)
         .where(F.col("hub") != F.col("node"))
         .select(F.col("hub").alias("a"), F.col("node").alias("b"))
@@ -361,15 +376,20 @@ def ngram_components(
     near = materialise(connected_components(edges), "ngram-candidates")
 
     # The classes of candidate components, and into how many row blocks each component is dealt.
-    members = materialise(classes.join(near, "node").select("digest", "least", "n", "root"), "ngram-members")
-    wide = F.greatest(F.count("*") / F.lit(BLOCK_ROWS), F.sum("n") / F.lit(BLOCK_SHINGLES))
-    shape = members.groupBy("root").agg(F.ceil(wide).cast("int").alias("blocks"))
+    members = materialise(
+        classes.join(near, "node").select("digest", "least", "text_hash", "n", "root"), "ngram-members"
+    )
+    wide = F.greatest(F.count("*") / F.lit(PIECE_ROWS), F.sum("n") / F.lit(PIECE_SHINGLES))
+    # One piece as long as all fits into it; else blocks of half a piece.
+    blocks = F.when(wide <= 1, F.lit(1)).otherwise(F.ceil(2 * wide))
+    shape = members.groupBy("root").agg(blocks.cast("int").alias("blocks"))
     placed = members.join(shape, "root").select(
-        F.col("least").alias("wanted"), F.col("digest").alias("member"), "root", "blocks"
+        F.col("least").alias("wanted"), F.col("text_hash").alias("wanted_hash"), F.col("digest").alias("member"), "root", "blocks"
     )
     if members.count() <= BROADCAST_IDS:
         placed = F.broadcast(placed)
-    sets = _placed_sets(docs.join(placed, F.col("doc_id").eqNullSafe(F.col("wanted"))), k)
+    wanted = (F.xxhash64("text") == F.col("wanted_hash")) & F.col("doc_id").eqNullSafe(F.col("wanted"))
+    sets = _placed_sets(docs.join(placed, wanted), k)
 
     i, j = F.col("block"), F.col("other")
     blocks = (
@@ -380,7 +400,6 @@ def ngram_components(
     spread = blocks.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
     links = materialise(_block_links(spread, num, den), "ngram-links")
     linked = materialise(connected_components(links), "ngram-components")
-    discard(near, members, links)
 
     named = classes.join(linked.withColumnRenamed("node", "of"), F.col("digest") == F.col("of"), "left").select(
         "digest", "least", F.coalesce("root", "digest").alias("root")
@@ -388,6 +407,7 @@ def ngram_components(
     least_of = named.groupBy("root").agg(F.min("least").alias("component"))
     # Written, so that the join below shuffles both of its sides and can split a large class.
     labels = materialise(named.join(least_of, "root").select("digest", "component"), "ngram-labels")
+    discard(near, members, links, linked, classes)
     return rows.join(labels, "digest", "left").select(
         "doc_id",
         "text_hash",
@@ -397,20 +417,23 @@ def ngram_components(
 
 
 def keep_one(docs: DataFrame, k: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """Of each component the row with the least doc_id, with all its columns; of exact repeats of that row, one.
+    """Of each component the row with the least doc_id, and of those the least text hash, once, with all its columns.
 
-    Rows without an id or without words link with nothing that an id could name, and stay.
+    Rows without an id or without words link with nothing that an id could name, and stay, repeats too.
     """
-    found = materialise(ngram_components(docs, k, similarity), "ngram-found")
-    lost = (
-        found.where("n_shingles > 0 AND component_id <> doc_id")
-        .select(F.col("doc_id").alias("lost_id"), F.col("text_hash").alias("lost_hash"))
-        .distinct()
-    )
-    lost = materialise(lost, "ngram-lost")
-    if lost.count() <= BROADCAST_IDS:
-        lost = F.broadcast(lost)
-    gone = (F.col("doc_id") == F.col("lost_id")) & (F.xxhash64("text") == F.col("lost_hash"))
-    kept = docs.join(lost, gone, "left_anti")
-    repeats = found.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("doc_id").count().where("count > 1")
-    return kept if repeats.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
+    of_id, of_hash = fresh_names(docs.columns, "near_id", "near_hash")
+    found = materialise(ngram_components(docs, k, similarity), "ngram-found").where("n_shingles > 0 AND doc_id IS NOT NULL")
+    # The least hash is asked for only where texts share the least id; other rows of the component go by their id.
+    same = found.where("component_id = doc_id").groupBy("doc_id").agg(F.min("text_hash").alias("least"), F.count("*").alias("n"))
+    shared = materialise(same.where("n > 1"), "ngram-shared")
+    others = found.where("component_id = doc_id").join(bounded(shared, BROADCAST_IDS), "doc_id").where("text_hash <> least")
+    lost = found.where("component_id <> doc_id").select("doc_id", "text_hash").unionByName(others.select("doc_id", "text_hash"))
+    lost = materialise(lost.select(F.col("doc_id").alias(of_id), F.col("text_hash").alias(of_hash)).distinct(), "ngram-lost")
+    is_it = (F.col("doc_id") == F.col(of_id)) & (F.xxhash64("text") == F.col(of_hash))
+    kept = docs.join(bounded(lost, BROADCAST_IDS), is_it, "left_anti")
+    if shared.isEmpty():
+        return kept
+    # Only rows of the keepers that occur more than once are compared with each other.
+    again = bounded(shared.select(F.col("doc_id").alias(of_id), F.col("least").alias(of_hash)), BROADCAST_IDS)
+    once = kept.join(again, is_it, "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(again, is_it, "left_anti").unionByName(once)
