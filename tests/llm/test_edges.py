@@ -165,7 +165,7 @@ def test_ngram_components_equal_all_pairs(spark, monkeypatch, seed, k, num, den)
     docs = spark.createDataFrame([(d, t, 1, b"x") for d, t in rows], "doc_id long, text string, n int, digest binary")
     want = brute_components(rows, k, num, den)
     # Small blocks, so that large components are dealt over several.
-    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 5)
+    monkeypatch.setattr(ngram_join, "PIECE_ROWS", 5)
     monkeypatch.setattr(ngram_join, "HOT_PART", seed)
     got = ngram_join.ngram_components(docs.repartition(7), k, (num, den)).collect()
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
@@ -457,3 +457,43 @@ def test_empty_tables(spark):
     assert language_id.language_report(docs).collect() == []
     assert warc.archive_round_trip(pages).collect() == []
     assert url_filter.judge_urls(pages, url_filter.rules_frame(spark, url_filter.RULES)).collect() == []
+
+
+def test_draw_mix_gives_the_rows_of_mix_sources(spark):
+    """With whatever names the other columns have, and where a budget ends among rows that repeat an id and a text."""
+    dice = random.Random(6)
+    rows = [(d, t, s) for d, t, _, s in ODD if t is None or len(t) < 1000]
+    rows += [(100 + i, " ".join(["w"] * dice.randrange(1, 40)), dice.choice("ppppppqqr")) for i in range(200)]
+    rows += [(None, "no id but some words", dice.choice("pq")) for _ in range(40)] + [(99, "the same row again", "s")] * 50 + [(98, "w " * 1900, "t")]
+    names = "doc_id long, text string, source string, epoch int, weight double, name string, whole int, _mix_source string, block int"
+    docs = spark.createDataFrame([(*r, 1, 1.0, "n", 3, "m", 4) for r in rows], names)
+    for how in ({}, {"max_epochs": 1.7}, {"target_entropy": 1.9}, {"max_epochs": 3.0, "budget": 4321.0}):
+        listed = Counter((r.doc_id, r.source, r.n_tokens) for r in mixing.mix_sources(docs, **how).collect())
+        drawn = mixing.draw_mix(docs, **how)
+        assert drawn.columns == docs.columns
+        assert Counter((r.doc_id, r.source, tokens(r.text)) for r in drawn.collect()) == listed
+    assert mixing.draw_mix(docs.limit(0)).collect() == []
+    tiny = spark.createDataFrame([(1, "w", "a"), *[(2 + i, "w " * 100, "b") for i in range(20)]], "doc_id long, text string, source string")
+    assert max(r.epoch for r in mixing.mix_sources(tiny, target_entropy=1.0).collect()) <= mixing.MOST_EPOCHS
+
+
+def test_rows_without_ids_in_the_join(spark):
+    """Many rows without id, of equal and of near texts, and columns with the names that the operator uses."""
+    dice = random.Random(12)
+    say = lambda n: [f"w{dice.randrange(500)}" for _ in range(n)]
+    rows, base = [], [say(80) for _ in range(6)]
+    for i in range(240):
+        words = dice.choice(base)
+        words = edited(dice, words, 1) if dice.random() < 0.4 else words
+        rows.append((None if dice.random() < 0.3 else dice.randrange(150), " ".join(words)))
+    rows += [(None, " ".join(say(50)))] * 30
+    names = "doc_id long, text string, near_id int, _near_id int, _near_hash int, lost_id int, digest int, node int, root int, least int"
+    docs = spark.createDataFrame([(*r, *range(8)) for r in rows], names)
+    want = brute_components(rows, 5, 80, 100)
+    got = ngram_join.ngram_components(docs.repartition(5)).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
+    kept = ngram_join.keep_one(docs)
+    assert kept.columns == docs.columns
+    kept = [(r.doc_id, r.text) for r in kept.collect()]
+    assert Counter(r for r in kept if r[0] is None) == Counter(r for r in rows if r[0] is None)
+    assert Counter(d for d, _ in kept if d is not None) == Counter({c for _, _, c in want if c is not None})

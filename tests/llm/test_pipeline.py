@@ -79,3 +79,31 @@ def test_an_empty_table_passes_through(spark, tmp_path):
     for _, stage in pipeline.STAGES:
         empty = stage(spark, empty, str(tmp_path))
         assert empty.collect() == []
+
+
+def test_stages_carry_columns_of_any_name_and_rows_without_ids(spark, tmp_path):
+    rows, folder = planted(spark, tmp_path)
+    names = "language epoch weight alpha lost_id leaked_id name whole n_tokens mix_key _language _mix_source size shard".split()
+    kinds = "doc_id long, text string, lang string, source string, " + ", ".join(f"{n} int" for n in names)
+    # A tenth of the documents have no id; none of them is a copy or a leak.
+    loose = {i for i in range(1, 160, 10) if i != 5}
+    rows = [(None if r[0] in loose else r[0], *r[1:]) for r in rows]
+    docs = spark.createDataFrame([(*r, *range(len(names))) for r in rows], kinds)
+    for name, stage in pipeline.STAGES[:-1]:
+        before = docs.count()
+        docs = stage(spark, docs, folder).cache()
+        assert docs.columns[4:] == names and docs.count() >= (1 if name != "mixing" else before)
+        held = {r.text for r in docs.collect() if r.doc_id is None}
+        assert held == {text for i, text, *_ in rows if i is None}
+        assert all(tuple(r)[4:] == tuple(range(len(names))) for r in docs.collect())
+    assert pipeline.STAGES[-1][1](spark, docs, folder).count() == docs.count()
+
+
+def test_texts_of_no_learned_language_go(spark):
+    dice = random.Random(4)
+    say = lambda lang, n: " ".join(dice.choice(VOCABULARY[lang]) for _ in range(n))
+    rows = [(i, say(lang, 40), lang) for i in range(200) for lang in [dice.choice(["en", "fr"])]]
+    noise = ["Съешь ещё этих мягких французских булок да выпей чаю", "敏捷的棕色狐狸跳过了懒狗", "aGVsbG8gd29ybGQgdGhpcyBpcyBiYXNlNjQ" * 3]
+    docs = spark.createDataFrame(rows + [(900 + i, t, None) for i, t in enumerate(noise)], "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in pipeline.identify_language(spark, docs, "").collect()}
+    assert kept == set(range(200))
