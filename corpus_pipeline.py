@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 ``run`` writes what a stage returns as Parquet on shared storage and hands the reread table to the next one.
 
 Cases: nulls, empty and repeated rows are treated as each operator states. Columns beside doc_id, text, lang and source are carried
-along. An empty table passes through all stages as an empty table.
+along, whatever their names, as far as the last stage. An empty table passes through all stages as an empty table.
 """
 
 from __future__ import annotations
@@ -13,18 +13,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm import decontam, language_id, mixing, ngram_join, sharding
-from foliant.llm.common import materialise, table
+from foliant.llm.common import discard, fresh_names, materialise, table
 
 #: Documents whose best language is less likely than this, given the learned ones, are rejected.
 MIN_LANGUAGE_SCORE = 0.5
+#: So are those whose code is longer than this many times what is usual in their language, and by ``COST_SLACK`` bits more: a short
+#: text with an address or a number in it costs as much by the byte as one of another script.
+MAX_LANGUAGE_COST = 2.0
+COST_SLACK = 128.0
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without text or letters, or of no clear language, go."""
-    model = language_id.train(docs)
-    found = language_id.identify(docs, model)
-    clear = (F.col("language.lang_pred") != "und") & (F.col("language.score") >= MIN_LANGUAGE_SCORE)
-    return found.where(clear).select(*docs.columns)
+    """Documents without text or letters, of no clear language, or of none that the labelled documents teach, go."""
+    model = language_id.learn_usual(docs, language_id.train(docs))
+    (name,) = fresh_names(docs.columns, "language")
+    found = language_id.identify(docs, model, out=name)
+    usual = F.create_map(*[F.lit(x) for lang, bits in sorted(model.usual.items()) for x in (lang, bits)]) if model.usual else None
+    clear = (F.col(name).lang_pred != "und") & (F.col(name).score >= MIN_LANGUAGE_SCORE)
+    if usual is not None:
+        per_byte = F.coalesce(F.try_element_at(usual, F.col(name).lang_pred) * MAX_LANGUAGE_COST, F.lit(8.0))
+        size = F.octet_length("text")
+        clear &= F.col(name).bits_per_byte * size <= per_byte * size + COST_SLACK
+    return found.where(clear).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +49,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Small sources are repeated, up to the repetition limit; every document is used once at least."""
-    rest = tuple(c for c in docs.columns if c not in ("doc_id", "source"))
-    return mixing.mix_sources(docs, max_epochs=mixing.MAX_EPOCHS, keep=rest).select(*docs.columns)
+    return mixing.draw_mix(docs, max_epochs=mixing.MAX_EPOCHS)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +70,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
