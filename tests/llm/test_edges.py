@@ -497,3 +497,34 @@ def test_rows_without_ids_in_the_join(spark):
     kept = [(r.doc_id, r.text) for r in kept.collect()]
     assert Counter(r for r in kept if r[0] is None) == Counter(r for r in rows if r[0] is None)
     assert Counter(d for d, _ in kept if d is not None) == Counter({c for _, _, c in want if c is not None})
+
+
+def test_line_runs_are_merged_side_by_side(spark):
+    """The plans of a batch's anti-join and of a merge: nothing is broadcast, and no run is shuffled or sorted again."""
+    lines = lambda low, high: spark.range(low, high).select(F.col("id").alias("doc_id"), F.unhex(F.md5(F.format_string("line %d", F.col("id") % 97).cast("binary"))).alias("hash"))
+    store = line_dedup.LineRuns(spark, min_docs=5)
+    for low in (900, 600, 300):
+        store.add(lines(low, low + 300))
+    assert [len(level) for level in store.levels] == [1, 1]
+    with store.sorted_scans():
+        counted = store.counted(lines(0, 300))._jdf.queryExecution().executedPlan().toString()
+        merged = store.frequent()
+        plan = merged._jdf.queryExecution().executedPlan().toString()
+        rows = {bytes(r.hash): r.keeper for r in merged.collect()}
+    assert counted.count("SortMergeJoin") == 2 and counted.count("Exchange") == 1 and "Broadcast" not in counted
+    # The batch's own counts are sorted once, for both joins.
+    assert counted.count("Sort [") == 1
+    assert plan.count("SortMergeJoin") == 1 and "Exchange" not in plan and "Sort [" not in plan
+    assert rows == {hashlib.md5(f"line {i % 97}".encode()).digest(): i for i in range(1103, 1200)}
+    store.clear()
+    assert store.runs() == []
+
+
+def test_line_dedup_of_rows_without_ids(spark):
+    dice = random.Random(3)
+    common = [f"Common line number {i} which is long enough to count" for i in range(8)]
+    rows = [(None if dice.random() < 0.3 else dice.randrange(60), "\n".join(dice.choice(common) for _ in range(dice.randrange(5)))) for _ in range(150)]
+    names = "doc_id long, text string, hash string, part int, batch int, of int, lines int"
+    docs = spark.createDataFrame([(*r, "h", 1, 2, 3, 4) for r in rows], names)
+    got = line_dedup.line_dedup(docs)
+    assert Counter((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in got.collect()) == brute_lines(rows)
