@@ -48,6 +48,18 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 2_000, size: int = 16 << 20) -> None:
+    """Hand texts to Python workers in batches of at most ``rows`` and some ``size`` bytes: they bound a worker's memory.
+
+    Plans run after this call returns, so the session keeps the limits; lower ones of its own stay.
+    """
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        key = f"spark.sql.execution.arrow.{name}"
+        held = int(spark.conf.get(key).rstrip("b"))
+        if held <= 0 or held > most:
+            spark.conf.set(key, str(most))
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete the files of materialised frames that nothing will read again."""
     for df in frames:

@@ -119,9 +119,9 @@ def _best_segment(doc: Column, item: Column) -> Column:
 
 
 def text_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(key, item, matched, item_words, first_word) of the contaminated texts, from (key, text) of documents and of items.
+    """(whole, item, matched, item_words, first_word) of the contaminated texts, from (key, text) of documents and of items.
 
-    Of rows with equal keys one text is judged.
+    ``whole`` is the text's ``text_key``. The shorter ``key`` goes with every window; where two texts share one, both are compared.
     """
     test = seeds(items).select(F.col("key").alias("item"), F.col("at").alias("item_at"), "seed")
     hits = (
@@ -135,8 +135,9 @@ def text_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     # Only texts with a hit are read for their words again, each once, however many rows hold it.
     hit = bounded(hits.select(F.col("key").alias("hit")).distinct(), BROADCAST_HITS)
-    held = docs.join(hit, F.col("key") == F.col("hit"), "left_semi").groupBy("key").agg(F.first("text").alias("text"))
-    words = held.select("key", word_hashes(F.col("text")).alias("words"))
+    held = docs.join(hit, F.col("key") == F.col("hit"), "left_semi")
+    held = held.groupBy(text_key(F.col("text")).alias("whole")).agg(F.first("key").alias("key"), F.first("text").alias("text"))
+    words = held.select("whole", "key", word_hashes(F.col("text")).alias("words"))
     of_item = items.groupBy(F.col("key").alias("item")).agg(F.first("text").alias("text"))
     of_item = of_item.select("item", word_hashes(F.col("text")).alias("item_hashes"))
 
@@ -147,14 +148,14 @@ def text_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     found = (
         hits.join(words, "key")
         .join(of_item, "item")
-        .select("key", "item", from_doc.alias("first_word"), F.size("item_hashes").alias("item_words"), matched.alias("matched"))
+        .select("whole", "item", from_doc.alias("first_word"), F.size("item_hashes").alias("item_words"), matched.alias("matched"))
     )
-    best = found.groupBy("key", "item").agg(
+    best = found.groupBy("whole", "item").agg(
         F.max(F.struct("matched", (-F.col("first_word")).alias("before"), "item_words")).alias("best")
     )
     enough = F.least(F.lit(MIN_MATCHES), F.ceil(F.col("best.item_words") * F.lit(MIN_SHARE)))
     return best.where(F.col("best.matched") >= enough).select(
-        "key",
+        "whole",
         "item",
         F.col("best.matched").cast("long").alias("matched"),
         F.col("best.item_words").cast("long").alias("item_words"),
@@ -163,21 +164,25 @@ def text_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def _keyed(df: DataFrame, text_col: str) -> DataFrame:
-    return df.select(text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
+    return df.select(F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
+
+
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(text_key(F.col("text")).alias("key"), "text")
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each contaminated document and item: doc_id, item_id, matched words, words of the item, first word."""
-    leaks = materialise(text_leaks(_keyed(docs, text_col), _keyed(benchmark, "text")), "leaks")
+    leaks = materialise(text_leaks(_keyed(docs, text_col), _items(benchmark)), "leaks")
     items = benchmark.select("item_id", text_key(F.col("text")).alias("item"))
-    names = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("key"))
-    named = names.join(bounded(leaks.select("key").distinct(), BROADCAST_HITS), "key", "left_semi").distinct()
-    return named.join(leaks, "key").join(items, "item").select("doc_id", "item_id", "matched", "item_words", "first_word")
+    names = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("whole"))
+    named = names.join(bounded(leaks.select("whole").distinct(), BROADCAST_HITS), "whole", "left_semi").distinct()
+    return named.join(leaks, "whole").join(items, "item").select("doc_id", "item_id", "matched", "item_words", "first_word")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, max_broadcast: int = BROADCAST_HITS) -> DataFrame:
     """The rows of ``docs`` whose texts no item contaminates, with all their columns."""
     (name,) = fresh_names(docs.columns, "leaked")
-    leaks = text_leaks(_keyed(docs, "text"), _keyed(benchmark, "text"))
-    leaked = bounded(materialise(leaks.select(F.col("key").alias(name)).distinct(), "leaks"), max_broadcast)
+    leaks = text_leaks(_keyed(docs, "text"), _items(benchmark))
+    leaked = bounded(materialise(leaks.select(F.col("whole").alias(name)).distinct(), "leaks"), max_broadcast)
     return docs.join(leaked, text_key(F.col("text")) == F.col(name), "left_anti")

@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliant.llm.common import materialise, small_batches
+
 ORDER = 3
 FOLDS = 5
 TRAIN_BYTES = 2_000_000
@@ -178,23 +180,24 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _sample(docs: DataFrame, train_bytes: int) -> DataFrame:
-    """(lang, text): for each label some ``train_bytes`` of text, the documents with the least hashes of the id and text."""
+def training_sample(docs: DataFrame, train_bytes: int = TRAIN_BYTES) -> DataFrame:
+    """(lang, text), written once: for each label some ``train_bytes`` of text, the documents with the least hashes of the id and text."""
     labelled = docs.where(~held_out()).where("lang IS NOT NULL AND text IS NOT NULL AND text <> ''").select("doc_id", "lang", "text")
     sizes = labelled.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes"))
     # Beyond so many labels, the most frequent are learned; the table of them is then of bounded size.
     sizes = sizes.orderBy(F.col("bytes").desc(), "lang").limit(MOST_LANGUAGES)
     part = F.least(F.lit(1.0), F.lit(float(train_bytes)) / F.col("bytes"))
-    return (
+    sample = (
         labelled.join(F.broadcast(sizes), "lang")
         .where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.ceil(part * (1 << 20)))
         .select("lang", "text")
     )
+    return materialise(sample, "language-sample")
 
 
-def train(docs: DataFrame, train_bytes: int = TRAIN_BYTES) -> LanguageModel:
-    """Learn from text and lang of the documents that aren't held out."""
-    sample = _sample(docs, train_bytes)
+def train(sample: DataFrame) -> LanguageModel:
+    """Learn from (lang, text)."""
+    small_batches(sample.sparkSession)
     counts = sample.mapInArrow(_count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
     langs = np.array(counts.column("lang").to_pylist(), object)
     codes = counts.column("code").to_numpy().astype(np.uint32)
@@ -202,9 +205,9 @@ def train(docs: DataFrame, train_bytes: int = TRAIN_BYTES) -> LanguageModel:
     return LanguageModel({lang: ContextTree(codes[langs == lang], numbers[langs == lang]) for lang in sorted(set(langs))})
 
 
-def learn_usual(docs: DataFrame, model: LanguageModel, train_bytes: int = TRAIN_BYTES) -> LanguageModel:
+def learn_usual(sample: DataFrame, model: LanguageModel) -> LanguageModel:
     """``model`` with the usual bits per byte of each language, from the texts it was trained on."""
-    found = identify(_sample(docs, train_bytes), model, out="found").where("found.lang_pred = lang")
+    found = identify(sample, model, out="found").where("found.lang_pred = lang")
     usual = found.groupBy("lang").agg(F.percentile_approx("found.bits_per_byte", QUANTILE, 1000).alias("bits")).collect()
     model.usual = {row.lang: row.bits for row in usual}
     return model
@@ -216,6 +219,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", out:
     nothing = F.struct(F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("bits_per_byte"))
     if not model.names:
         return docs.withColumn(out, nothing.cast(kind))
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf(kind)
@@ -232,6 +236,6 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", out:
 def language_report(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every document."""
     docs = docs.select("doc_id", "text", "lang")
-    return identify(docs.select("doc_id", "text"), train(docs)).select(
+    return identify(docs.select("doc_id", "text"), train(training_sample(docs))).select(
         "doc_id", held_out().alias("held_out"), "language.lang_pred", "language.score"
     )

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from foliant.llm.common import bounded, discard, fresh_names, materialise
+from foliant.llm.common import bounded, discard, fresh_names, materialise, small_batches
 from foliant.llm.components import connected_components
 
 SHINGLE = 5
@@ -349,7 +349,15 @@ def ngram_components(
     text_col: str = "text",
 ) -> DataFrame:
     """One row for each row of ``docs``: doc_id, text_hash, n_shingles, component_id."""
+    return _components(docs, k, similarity, id_col, text_col)[0]
+
+
+def _components(
+    docs: DataFrame, k: int, similarity: tuple[int, int], id_col: str = "doc_id", text_col: str = "text"
+) -> tuple[DataFrame, list[DataFrame]]:
+    """The result, and the tables that it reads."""
     num, den = similarity
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     hot = hot_shingles(docs, k)
     signed = materialise(sign(docs, k, num, den, hot), "ngram-signed")
@@ -408,12 +416,13 @@ def ngram_components(
     # Written, so that the join below shuffles both of its sides and can split a large class.
     labels = materialise(named.join(least_of, "root").select("digest", "component"), "ngram-labels")
     discard(near, members, links, linked, classes)
-    return rows.join(labels, "digest", "left").select(
+    found = rows.join(labels, "digest", "left").select(
         "doc_id",
         "text_hash",
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"),
     )
+    return found, [signed, labels]
 
 
 def keep_one(docs: DataFrame, k: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
@@ -422,7 +431,9 @@ def keep_one(docs: DataFrame, k: int = SHINGLE, similarity: tuple[int, int] = SI
     Rows without an id or without words link with nothing that an id could name, and stay, repeats too.
     """
     of_id, of_hash = fresh_names(docs.columns, "near_id", "near_hash")
-    found = materialise(ngram_components(docs, k, similarity), "ngram-found").where("n_shingles > 0 AND doc_id IS NOT NULL")
+    found, tables = _components(docs, k, similarity)
+    found = materialise(found, "ngram-found").where("n_shingles > 0 AND doc_id IS NOT NULL")
+    discard(*tables)
     # The least hash is asked for only where texts share the least id; other rows of the component go by their id.
     same = found.where("component_id = doc_id").groupBy("doc_id").agg(F.min("text_hash").alias("least"), F.count("*").alias("n"))
     shared = materialise(same.where("n > 1"), "ngram-shared")
