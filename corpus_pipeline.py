@@ -25,7 +25,9 @@ COST_SLACK = 128.0
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without text or letters, of no clear language, or of none that the labelled documents teach, go."""
-    model = language_id.learn_usual(docs, language_id.train(docs))
+    sample = language_id.training_sample(docs)
+    model = language_id.learn_usual(sample, language_id.train(sample))
+    discard(sample)
     (name,) = fresh_names(docs.columns, "language")
     found = language_id.identify(docs, model, out=name)
     usual = F.create_map(*[F.lit(x) for lang, bits in sorted(model.usual.items()) for x in (lang, bits)]) if model.usual else None
