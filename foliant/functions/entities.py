@@ -104,16 +104,25 @@ def keyword_words(text: Column, language: Column) -> Column:
     return F.when(language == "ar", arabic).when(language == "fr", french).when(language == "mixed", F.concat(arabic, french))
 
 
+def ranked_keywords(text: Column, language: Column, top: int = 10) -> Column:
+    """Structs (count, word) of the most frequent keywords, ties by first occurrence; null for a text of no known language."""
+    return F.slice(by_frequency(keyword_words(text, language)), 1, top)
+
+
 def keywords(text: Column, language: Column, top: int = 10) -> Column:
-    return F.transform(F.slice(by_frequency(keyword_words(text, language)), 1, top), lambda x: x["word"])
+    return F.transform(ranked_keywords(text, language, top), lambda x: x["word"])
 
 
-def section_keywords(text: Column, top: int = 10) -> Column:
-    """Of the most frequent ``2 * top`` words those that are no stop words and occur twice."""
+def ranked_section_keywords(text: Column, top: int = 10) -> Column:
+    """Of the most frequent ``2 * top`` words those that are no stop words and occur twice, as structs (count, word)."""
     ranked = F.slice(by_frequency(letter_words(text)), 1, 2 * top)
     kept = F.filter(ranked, lambda x: ~x["word"].isin(lx.SECTION_STOP) & (x["n"] >= 2))
-    none = F.array().cast("array<string>")
-    return F.when(F.length(text) < 50, none).otherwise(F.transform(F.slice(kept, 1, top), lambda x: x["word"]))
+    none = F.array().cast("array<struct<n: int, word: string>>")
+    return F.when(F.length(text) < 50, none).otherwise(F.slice(kept, 1, top))
+
+
+def section_keywords(text: Column, top: int = 10) -> Column:
+    return F.transform(ranked_section_keywords(text, top), lambda x: x["word"])
 
 
 def metadata_keywords(text: Column, top: int = 20) -> Column:

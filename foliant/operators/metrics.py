@@ -92,13 +92,16 @@ def cooled_down(found: DataFrame, seconds: float = lx.COOLDOWN_SECONDS) -> DataF
                 keep.append(emit)
             yield frame[keep]
 
-    ordered = found.repartition("name", "level").sortWithinPartitions("name", "level", "ts")
+    # Of breaches at the same time the first by their other columns counts, so that a rerun keeps the same ones.
+    others = [c for c in columns if c not in ("name", "level", "ts")]
+    ordered = found.repartition("name", "level").sortWithinPartitions("name", "level", "ts", *others)
     return ordered.mapInPandas(walk, found.schema).select(*columns)
 
 
 def recent_alerts(alerts: DataFrame, n: int = 20) -> DataFrame:
-    """The latest ``n`` alerts, and of those the unresolved ones."""
-    return alerts.orderBy(F.col("ts").desc()).limit(n).where(~F.col("resolved"))
+    """The latest ``n`` alerts, and of those the unresolved ones; of alerts at one time the largest by their other columns."""
+    others = [F.col(c).desc() for c in alerts.columns if c != "ts"]
+    return alerts.orderBy(F.col("ts").desc(), *others).limit(n).where(~F.col("resolved"))
 
 
 def health(alerts: DataFrame) -> DataFrame:
@@ -121,7 +124,8 @@ def retained(points: DataFrame, days: int = 30, as_of=None) -> DataFrame:
     return trailing(points, days * 24 * 60, as_of)
 
 
-def by_metric_json(points: DataFrame) -> DataFrame:
-    """One JSON array of points a metric, for export."""
+def by_metric_json(points: DataFrame, unit: str = "day") -> DataFrame:
+    """JSON arrays of points for export, one for each metric and ``unit`` of time, so that none grows with the history."""
     point = F.struct("ts", "value")
-    return points.groupBy("name").agg(F.to_json(F.sort_array(F.collect_list(point))).alias("points"))
+    chunk = F.date_trunc(unit, F.col("ts")).alias("chunk")
+    return points.groupBy("name", chunk).agg(F.to_json(F.sort_array(F.collect_list(point))).alias("points"))

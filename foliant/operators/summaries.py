@@ -87,11 +87,12 @@ def textrank(docs: DataFrame, n: int = 3, embed=bag_of_words, text_col: str = "t
     return docs.withColumn(out, best(F.col(text_col), found))
 
 
-def summary_quality(similarity: Column, summary: Column, text: Column) -> Column:
+def summary_quality(similarity: Column, summary: Column, text: Column, places: int | None = 3) -> Column:
     """Similarity, words taken from the text, and compression, in one number of three places."""
     taken = coverage(word_set(summary), word_set(text))
     short = F.least(F.lit(1.0), F.try_divide(F.lit(0.3), compression(summary, text)))
-    return F.bround(similarity * 0.5 + taken * 0.3 + F.coalesce(short, F.lit(0.0)) * 0.2, 3)
+    score = similarity * 0.5 + taken * 0.3 + F.coalesce(short, F.lit(0.0)) * 0.2
+    return score if places is None else F.bround(score, places)
 
 
 def better_summary(text: Column, extractive: Column, abstractive: Column, similar_e: Column, similar_a: Column) -> Column:

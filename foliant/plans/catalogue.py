@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from foliant.plans import classes, cleaning, languages, scores, served, tables
+from foliant.plans import classes, cleaning, extracts, languages, scores, served, tables
 from foliant.plans.registry import QUERIES, SQL, Query
 
-MODULES = (served, languages, classes, cleaning, scores, tables)
+MODULES = (served, languages, classes, cleaning, scores, tables, extracts)
 
 
 def queries() -> dict[str, Query]:

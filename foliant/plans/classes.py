@@ -4,11 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from foliant.functions import classify, entities, language
 from foliant.functions import lexicons as lx
-from foliant.functions.text import letter_words
 from foliant.operators import documents
 from foliant.plans.languages import BASIC_N, FRAR, LATIN_FR_N
 from foliant.plans.registry import (
@@ -259,28 +257,33 @@ def batch_summary(docs: DataFrame) -> DataFrame:
 # --- keywords ---------------------------------------------------------------------------------------------
 
 WORD_FR = "[a-zA-Zàâäéèêëïîôöùûüç]"
+S_FRENCH = rf"""list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+'),
+                   lambda w: regexp_full_match(w, '{WORD_FR}{{3,}}') AND NOT list_contains([{', '.join(q(w) for w in lx.FRENCH_STOP_KEYWORDS)}], w))"""
+S_ARABIC = rf"""list_filter(regexp_extract_all(text, '[\x{{0600}}-\x{{06FF}}]{{3,}}'),
+                   lambda w: NOT list_contains([{', '.join(q(w) for w in lx.ARABIC_STOP_KEYWORDS)}], w))"""
 
 
 @on(
     "documents",
     "top_keywords",
-    rf"""
-    WITH w AS (SELECT doc_id, unnest(list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+'),
-                   lambda w: regexp_full_match(w, '{WORD_FR}{{3,}}') AND NOT list_contains([{', '.join(q(w) for w in lx.FRENCH_STOP_KEYWORDS)}], w))) AS word,
-                      generate_subscripts(list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+'),
-                   lambda w: regexp_full_match(w, '{WORD_FR}{{3,}}') AND NOT list_contains([{', '.join(q(w) for w in lx.FRENCH_STOP_KEYWORDS)}], w)), 1) AS pos
-               FROM ({WITH_LANGUAGE}) WHERE language = 'fr'),
+    f"""
+    WITH f AS (SELECT doc_id, CASE language WHEN 'fr' THEN {S_FRENCH} WHEN 'ar' THEN {S_ARABIC} WHEN 'mixed' THEN list_concat({S_ARABIC}, {S_FRENCH}) END AS ws FROM ({WITH_LANGUAGE})),
+    w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM f),
     c AS (SELECT doc_id, word, count(*) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, min(pos)) AS rank FROM w GROUP BY doc_id, word)
     SELECT doc_id, word, n, rank FROM c WHERE rank <= 10
     """,
 )
 def top_keywords(docs: DataFrame) -> DataFrame:
-    docs = docs.select("doc_id", "text", language.french_or_arabic(F.col("text")).alias("language")).where("language = 'fr'")
-    found = entities.keyword_words(F.col("text"), F.lit("fr"))
-    words = docs.select("doc_id", F.posexplode_outer(found).alias("at", "word")).where("word IS NOT NULL")
-    counted = words.groupBy("doc_id", "word").agg(F.count("*").alias("n"), F.min("at").alias("first"))
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("n").desc(), "first"))
-    return counted.withColumn("rank", n(rank)).where("rank <= 10").select("doc_id", "word", "n", "rank")
+    """A document is a row, so its keywords are counted and ranked in that row; nothing is shuffled."""
+    docs = docs.select("doc_id", "text", language.french_or_arabic(F.col("text")).alias("language"))
+    found = docs.select("doc_id", entities.ranked_keywords(F.col("text"), F.col("language")).alias("found"))
+    return _ranked(found).select("doc_id", "word", "n", F.col("place").alias("rank"))
+
+
+def _ranked(found: DataFrame) -> DataFrame:
+    """(doc_id, word, n, place) from (doc_id, found). Outer, as for an inner explode Spark would compute all once more, in a filter."""
+    rows = found.select("doc_id", F.posexplode_outer("found").alias("at", "x")).where("x IS NOT NULL")
+    return rows.select("doc_id", F.col("x.word").alias("word"), n(F.col("x.n")).alias("n"), n(F.col("at") + 1).alias("place"))
 
 
 LETTERS = "[a-zA-Z" + lx.ACCENTED_FR + r"\x{0600}-\x{06FF}]"
@@ -300,14 +303,7 @@ LETTERS = "[a-zA-Z" + lx.ACCENTED_FR + r"\x{0600}-\x{06FF}]"
     """,
 )
 def section_keyword_rows(docs: DataFrame) -> DataFrame:
-    docs = docs.where(F.length("text") >= 50)
-    words = docs.select("doc_id", F.posexplode_outer(letter_words(F.col("text"))).alias("at", "word")).where("word IS NOT NULL")
-    counted = words.groupBy("doc_id", "word").agg(F.count("*").alias("n"), F.min("at").alias("first"))
-    by_doc = Window.partitionBy("doc_id")
-    ranked = counted.withColumn("rank", F.row_number().over(by_doc.orderBy(F.col("n").desc(), "first"))).where("rank <= 20")
-    kept = ranked.where((F.col("n") >= 2) & ~F.col("word").isin(lx.SECTION_STOP))
-    place = F.row_number().over(by_doc.orderBy("rank"))
-    return kept.withColumn("place", n(place)).where("place <= 10").select("doc_id", "word", "n", "place")
+    return _ranked(docs.select("doc_id", entities.ranked_section_keywords(F.col("text")).alias("found")))
 
 
 @on(

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from foliant.functions import classify, language, quality
 from foliant.functions import lexicons as lx
 from foliant.functions.text import bare_words, mean, sentences, text_or_empty, words
+from foliant.plans import classes  # noqa: F401  its SQL is used below
 from foliant.plans.languages import s_len_of
 from foliant.plans.registry import (
+    SQL,
     joined,
     n,
     on,
@@ -272,7 +274,16 @@ def quality_vs_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@on("documents", "metadata_confidence")
+@on(
+    "documents",
+    "metadata_confidence",
+    f"""
+    WITH t AS ({SQL['doc_type_patterns']}), l AS ({SQL['lang_primary_secondary']}), s AS ({SQL['structure_counters']}), h AS ({SQL['doc_title']})
+    SELECT d.doc_id, {s_r6("""(CASE WHEN length(text) > 1000 THEN 1.0 WHEN length(text) > 100 THEN 0.7 ELSE 0.3 END + CASE WHEN document_type <> 'unknown' THEN 0.8 ELSE 0.3 END
+           + CASE WHEN primary_language <> 'unknown' THEN 0.9 ELSE 0.4 END + CASE WHEN section_count > 0 THEN 0.9 ELSE 0.6 END + CASE WHEN title <> '' THEN 0.8 ELSE 0.5 END) / 5""")} AS confidence_score
+    FROM documents d JOIN t USING (doc_id) JOIN l USING (doc_id) JOIN s USING (doc_id) JOIN h USING (doc_id)
+    """,
+)
 def metadata_confidence(docs: DataFrame) -> DataFrame:
     text = F.col("text")
     docs = docs.select(

@@ -225,7 +225,19 @@ def alert_candidates(events: DataFrame) -> DataFrame:
     return found.select("name", "point_id", r6(F.col("value")).alias("value"), "level", "message")
 
 
-@on("events", "alert_cooldown")
+#: Each breach's successor is the first one over an hour later; the kept ones are reached from a metric's first breach.
+@on(
+    "events",
+    "alert_cooldown",
+    f"""
+    WITH RECURSIVE rules(name, threshold, level, message) AS (VALUES {RULE_VALUES}),
+    b AS (SELECT p.name, level, ts, value, message || format('{{:.2f}}', value) AS message FROM {POINTS} p JOIN rules r ON p.name = r.name AND value > threshold),
+    f AS (SELECT b.*, c.ts AS next FROM b ASOF LEFT JOIN b AS c ON b.name = c.name AND b.level = c.level AND b.ts + INTERVAL 1 HOUR < c.ts),
+    k AS (SELECT * FROM f WHERE (name, level, ts) IN (SELECT (name, level, min(ts)) FROM b GROUP BY name, level)
+          UNION ALL SELECT f.* FROM k JOIN f ON f.name = k.name AND f.level = k.level AND f.ts = k.next)
+    SELECT name, level, ts, value, message FROM k
+    """,
+)
 def alert_cooldown(events: DataFrame) -> DataFrame:
     found = metrics.breaches(points(events), metrics.rules_frame(events.sparkSession, EVENT_RULES))
     return metrics.cooled_down(found.select("name", "level", "ts", "value", "message"), 3600)
@@ -258,16 +270,32 @@ def recent_alerts(events: DataFrame) -> DataFrame:
     return latest.where(~F.col("resolved")).select("event_id", "event_type")
 
 
-@on("events", "dashboard")
+@on(
+    "events",
+    "dashboard",
+    f"""
+    WITH h AS (SELECT CASE WHEN bool_or(value > 95) THEN 'critical' ELSE 'warning' END AS system_health FROM (SELECT value FROM events WHERE value > 90 ORDER BY ts DESC LIMIT 20))
+    SELECT s.*, system_health FROM (SELECT name, {STATS} FROM {POINTS} WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 1 DAY AND name IN ('click', 'purchase', 'view') GROUP BY name) s, h
+    """,
+)
 def dashboard(events: DataFrame) -> DataFrame:
     level = F.when(F.col("value") > 95, "critical").otherwise("warning")
     alerts = events.select("ts", level.alias("level"), F.lit(False).alias("resolved")).where("value > 90")
-    return metrics.dashboard(points(events), alerts, ["click", "purchase", "view"], 24 * 60)
+    found = metrics.dashboard(points(events), alerts, ["click", "purchase", "view"], 24 * 60)
+    return found.select("name", "count", *[r6(F.col(c)).alias(c) for c in found.columns if c not in ("name", "count", "system_health")], "system_health")
 
 
-@on("events", "metrics_export")
+@on(
+    "events",
+    "metrics_export",
+    f"""
+    SELECT name, strftime(ts, '%Y-%m-%d') AS day, '[' || string_agg('{{"ts":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || '","value":' || CAST(value AS VARCHAR) || '}}', ',' ORDER BY ts, value) || ']' AS points
+    FROM {POINTS} GROUP BY 1, 2
+    """,
+)
 def metrics_export(events: DataFrame) -> DataFrame:
-    return metrics.by_metric_json(points(events))
+    found = metrics.by_metric_json(points(events))
+    return found.select("name", F.date_format("chunk", "yyyy-MM-dd").alias("day"), "points")
 
 
 @on(
@@ -375,7 +403,11 @@ def _scratch(spark: SparkSession, label: str) -> str:
     import tempfile
     import uuid
 
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="foliant-")
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="foliant-")
     return f"{root.rstrip('/')}/foliant-streams/{label}-{uuid.uuid4().hex}"
 
 

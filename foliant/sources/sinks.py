@@ -10,6 +10,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 
 def analysis_json(analysis: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -122,11 +123,21 @@ class DocumentRegistry:
         self.table = Table(spark, folder, self.SCHEMA)
 
     def add(self, docs: DataFrame) -> DataFrame:
-        """Store the documents whose names are new; returns the rows that were turned away."""
+        """Store the documents whose names are new; returns all rows that were turned away.
+
+        Of new rows with one name the earliest is stored, by date, then id, then text; rows that agree in all of these are ties.
+        """
         held = self.table.read().select("filename").distinct()
-        fresh = docs.join(held, "filename", "left_anti").dropDuplicates(["filename"])
-        self.table.append(fresh)
-        return docs.join(held, "filename", "left_semi")
+        known, order = docs.join(held, "filename", "left_semi"), F.struct("upload_date", "id", "text")
+        new = docs.join(held, "filename", "left_anti")
+        # Combined in each task, so a name that very many rows share is a row a task; only its ties are numbered.
+        first = new.groupBy(F.col("filename").alias("name")).agg(F.min(order).alias("first"))
+        marked = new.join(first, F.col("filename") == F.col("name"))
+        tie = F.row_number().over(Window.partitionBy("filename").orderBy(F.lit(0)))
+        ties = marked.where(order == F.col("first")).withColumn("tie", tie)
+        self.table.append(ties.where("tie = 1").select(docs.columns))
+        late = marked.where(order != F.col("first")).select(docs.columns)
+        return known.select(docs.columns).unionByName(late).unionByName(ties.where("tie > 1").select(docs.columns))
 
     def all(self) -> DataFrame:
         return self.table.read()
