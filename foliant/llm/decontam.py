@@ -36,6 +36,8 @@ MASKS = ((0, 4, 5, 7, 8, 9, 10), (0, 1, 2, 3, 4, 8, 10), (0, 1, 3, 6, 7, 9, 10))
 SPAN = 11
 #: Letters of scripts without spaces between words.
 UNSPACED = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}])"
+#: All such letters are beyond this one; a plain range is tried much faster than scripts are looked up.
+FIRST_UNSPACED = r"[\x{0E00}-\x{10FFFF}]"
 MIN_MATCHES = 13
 MIN_SHARE = 0.7
 #: Seed tables and lists of documents with hits up to this many rows are broadcast; larger ones are shuffled.
@@ -46,7 +48,7 @@ BROADCAST_HITS = 1_000_000
 def word_hashes(text: Column) -> Column:
     spaced = let(
         F.lower(F.coalesce(text, F.lit(""))),
-        lambda t: F.when(t.rlike(UNSPACED), F.regexp_replace(t, UNSPACED, " $1 ")).otherwise(t),
+        lambda t: F.when(t.rlike(FIRST_UNSPACED) & t.rlike(UNSPACED), F.regexp_replace(t, UNSPACED, " $1 ")).otherwise(t),
     )
     words = F.filter(F.split(spaced, r"[^\p{L}\p{N}]+"), lambda w: w != "")
     return F.transform(words, lambda w: F.xxhash64(w))
