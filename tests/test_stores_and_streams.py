@@ -152,3 +152,14 @@ def test_streams(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert len(seen) == 3
+
+
+def test_registry_returns_all_that_it_turns_away(spark, tmp_path):
+    """Of new rows with one name the earliest is stored; later ones, exact repeats and known names come back."""
+    registry = sinks.DocumentRegistry(spark, f"file://{tmp_path}/repeats")
+    at = lambda day: datetime.datetime(2024, 1, day)
+    rows = [("2", "a", "t", "fr", 1, at(2)), ("1", "a", "t", "fr", 1, at(1)), ("1", "a", "t", "fr", 1, at(1)), ("3", "b", "t", "fr", 1, at(1))]
+    away = registry.add(spark.createDataFrame(rows, registry.SCHEMA))
+    assert sorted(r.id for r in away.collect()) == ["1", "2"]
+    assert sorted((r.id, r.filename) for r in registry.listing().collect()) == [("1", "a"), ("3", "b")]
+    assert registry.add(spark.createDataFrame(rows[:1], registry.SCHEMA)).count() == 1 and registry.all().count() == 2
