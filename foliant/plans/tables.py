@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.operators import documents, metrics, search, sections, summaries
+from foliant.operators import documents, metrics, search, summaries
 from foliant.plans.registry import n, on, q, r6, register, s_long, s_r6, table
 
 # --- search -------------------------------------------------------------------------------------------------
@@ -113,28 +113,7 @@ def prompts(turns: DataFrame) -> DataFrame:
     return rows.select(F.col("conv_id").alias("query_id"), F.format_string(search.PROMPT, context, F.col("question")).alias("prompt"))
 
 
-# --- structure ------------------------------------------------------------------------------------------------
-
-
-@on("documents", "sections")
-def section_rows(docs: DataFrame) -> DataFrame:
-    return sections.section_rows(docs.select("doc_id", "text"))
-
-
-@on("documents", "document_structure")
-def document_structure(docs: DataFrame) -> DataFrame:
-    return sections.document_structure(docs.select("doc_id", "text"))
-
-
-@on("documents", "table_of_contents")
-def table_of_contents(docs: DataFrame) -> DataFrame:
-    return sections.table_of_contents(sections.section_rows(docs.select("doc_id", "text")))
-
-
-@on("documents", "structure_markdown")
-def structure_markdown(docs: DataFrame) -> DataFrame:
-    docs = docs.select("doc_id", "text")
-    return sections.to_markdown(sections.document_structure(docs), sections.section_rows(docs))
+# --- summaries ------------------------------------------------------------------------------------------------
 
 
 @on("documents", "textrank")
