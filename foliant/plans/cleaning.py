@@ -72,7 +72,30 @@ def clean_full(docs: DataFrame) -> DataFrame:
     return held.withColumn("for_summary", tx.clean_for_summary(F.col("cleaned")))
 
 
-@on("documents", "ocr_clean")
+OCR_DROPPED = r"[^\w\s؀-ۿÀ-ÿ.,;:!?()\-'\"]+"
+WORDLIKE = r"[\p{L}\p{M}\p{N}_]"
+
+
+def s_run(i: str) -> str:
+    """Whether the character at ``i`` repeats the one before within a run of four or more."""
+    before = [f"c[{i} - {k}] = c[{i}]" for k in (1, 2, 3)]
+    after = [f"c[{i} + {k}] = c[{i}]" for k in (1, 2)]
+    spans = [" AND ".join(f"coalesce({x}, false)" for x in before[: 3 - k] + after[:k]) for k in range(3)]
+    return "((" + ") OR (".join(spans) + "))"
+
+
+@on(
+    "documents",
+    "ocr_clean",
+    rf"""
+    WITH n AS (SELECT doc_id, {s_strip(rf"regexp_replace(regexp_replace(text, {pattern(OCR_DROPPED)}, ' ', 'g'), '\s+', ' ', 'g')")} AS t FROM documents),
+    k AS (SELECT doc_id, string_split(array_to_string(list_filter(string_split(t, chr(10)), lambda s: length({s_strip('s')}) > 2), ' '), '') AS c FROM n),
+    w AS (SELECT doc_id, c, list_transform(c, lambda x: regexp_matches(x, '{WORDLIKE}')) AS b FROM k),
+    s AS (SELECT doc_id, list_transform(c, lambda x, i: CASE WHEN b[i] AND NOT coalesce(i > 1 AND b[i - 1], false) AND NOT coalesce(b[i + 1], false) THEN ' ' ELSE x END) AS c FROM w),
+    r AS (SELECT doc_id, array_to_string(list_filter(c, lambda x, i: NOT (i > 1 AND {s_run('i')})), '') AS processed_text FROM s)
+    SELECT doc_id, processed_text, {s_long(f"len(list_filter({s_pieces('processed_text', '[.!?]+')}, lambda s: length(s) > 5))")} AS sentence_count FROM r
+    """,
+)
 def ocr_clean(docs: DataFrame) -> DataFrame:
     cleaned = tx.drop_ocr_noise(tx.normalise_ocr(F.col("text"), "french"))
     held = docs.select("doc_id", cleaned.alias("processed_text"))
@@ -147,7 +170,25 @@ def adjacent_sentence_jaccard(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", n(F.col("place")).alias("place"), r6(F.col("p.jaccard")).alias("jaccard"), r6(F.col("p.coverage")).alias("coverage"))
 
 
-@on("documents", "greedy_dedup")
+#: Pairs first; then, in order, a sentence goes if one that it is close to is there still.
+@on(
+    "documents",
+    "greedy_dedup",
+    f"""
+    WITH RECURSIVE l AS (SELECT doc_id, {s_sentences('text')} AS ss FROM documents),
+    s AS (SELECT doc_id, s, j, list_distinct({s_words('lower(s)')}) AS w FROM (SELECT doc_id, unnest(ss) AS s, generate_subscripts(ss, 1) AS j FROM l)),
+    near AS (SELECT b.doc_id, b.j, list(a.j) AS earlier, row_number() OVER (PARTITION BY b.doc_id ORDER BY b.j) AS step FROM s a JOIN s b ON a.doc_id = b.doc_id AND a.j < b.j
+             WHERE least(len(a.w), len(b.w)) >= .8 * greatest(len(a.w), len(b.w))
+               AND len(list_intersect(a.w, b.w)) / nullif(len(list_distinct(list_concat(a.w, b.w))), 0) > .8 GROUP BY b.doc_id, b.j),
+    walk AS (SELECT DISTINCT doc_id, 0 AS step, CAST([] AS BIGINT[]) AS gone FROM near
+             UNION ALL
+             SELECT near.doc_id, near.step, CASE WHEN len(list_filter(earlier, lambda i: NOT list_contains(gone, i))) > 0 THEN list_append(gone, j) ELSE gone END
+             FROM walk JOIN near ON walk.doc_id = near.doc_id AND near.step = walk.step + 1),
+    last AS (SELECT doc_id, arg_max(gone, step) AS gone FROM walk GROUP BY doc_id),
+    kept AS (SELECT l.doc_id, ss, CASE WHEN gone IS NULL THEN ss ELSE list_filter(ss, lambda x, i: NOT list_contains(gone, i)) END AS k FROM l LEFT JOIN last ON l.doc_id = last.doc_id)
+    SELECT doc_id, {s_long('len(ss)')} AS n_sentences, {s_long('len(k)')} AS n_kept, array_to_string(k, '. ') AS text FROM kept
+    """,
+)
 def greedy_dedup(docs: DataFrame) -> DataFrame:
     """Documents without sentences that are nearly the same as an earlier one of theirs."""
     docs = docs.select("doc_id", tx.sentences(F.col("text")).alias("s"))

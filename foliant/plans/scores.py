@@ -186,32 +186,114 @@ def extraction_artifacts(docs: DataFrame) -> DataFrame:
     )
 
 
-@on("documents", "comprehensive_quality")
+def s_ascii(t: str) -> str:
+    """The text with an ASCII letter or mark for each other character: the dialect's word boundaries are ASCII only."""
+    return rf"regexp_replace(regexp_replace({t}, '[^\x00-\x7F\p{{L}}\p{{M}}\p{{N}}]', '?', 'g'), '[^\x00-\x7F]', 'x', 'g')"
+
+
+def s_advice(rules) -> str:
+    cases = ", ".join(f"CASE WHEN {test} THEN {q(text)} END" for test, text in rules)
+    return f"array_to_string(list_filter([{cases}], lambda x: x IS NOT NULL), '|')"
+
+
+def s_has(*names: str) -> str:
+    return "(" + " OR ".join(f"list_contains(found, {q(name)})" for name in names) + ")"
+
+
+ARTIFACTS = rf"""
+    SELECT doc_id, list_filter([CASE WHEN regexp_matches(text, '\s{{5,}}') THEN 'excessive_whitespace' END,
+                   CASE WHEN {s_count("regexp_replace(text, '[" + chr(92) + "p{L}" + chr(92) + "p{M}" + chr(92) + "p{Nd}_]', 'x', 'g')", r"\bx{1,2}\s+x{1,2}\b")} > len({s_words('text')}) * .1 THEN 'broken_words' END,
+                   CASE WHEN regexp_matches(text, '(?i)page\s+\d+|©|\d+/\d+') THEN 'header_footer_artifacts' END,
+                   CASE WHEN regexp_matches(text, '\|\s*\||\t{{3,}}') THEN 'table_artifacts' END,
+                   CASE WHEN regexp_matches(text, '(?m)^[\s•\-\*]{{2,}}') THEN 'formatting_artifacts' END,
+                   CASE WHEN regexp_matches(text, {MOJIBAKE}) THEN 'encoding_issues' END], lambda x: x IS NOT NULL) AS artifacts,
+           CASE WHEN len({s_sentences('text')}) = 0 THEN 0 ELSE greatest(0, CASE WHEN contains(text, chr(10) || chr(10)) THEN .1 ELSE 0 END
+                     - CASE WHEN regexp_matches(text, '[A-Z][^.!?]*[a-z][^.!?]*[.!?]') THEN 0 ELSE .2 END) END AS structure
+    FROM documents
+"""
+ADVICE = (
+    ("o < .4", "Text quality is poor. Consider re-extracting from source or using a different extraction method."),
+    (s_has("text_too_short"), "Text is too short for reliable analysis. Ensure complete extraction."),
+    (s_has("encoding_issues"), "Encoding issues detected. Check source encoding and extraction settings."),
+    (s_has("excessive_whitespace", "formatting_artifacts"), "Clean up formatting artifacts and excessive whitespace."),
+    (s_has("broken_words"), "Text appears to have broken words. Consider OCR post-processing or manual review."),
+    (s_has("low_alphabetic_content"), "Text has low alphabetic content. May contain too much formatting or special characters."),
+    ("o > .7", "Text quality is good and suitable for all processing tasks."),
+    ("o > .5 AND o <= .7", "Text quality is adequate for most processing tasks."),
+    ("o <= .5", "Text quality is marginal. Proceed with caution for important applications."),
+)
+SUGGESTED = (
+    (s_has("excessive_whitespace"), r"Remove excessive whitespace using regex: re.sub(r'\s+', ' ', text)"),
+    (s_has("broken_words"), "Consider post-processing to rejoin broken words"),
+    (s_has("encoding_issues"), "Re-extract with proper encoding (UTF-8) or use encoding detection"),
+    (s_has("header_footer_artifacts"), "Remove headers/footers using pattern matching"),
+)
+
+
+@on(
+    "documents",
+    "comprehensive_quality",
+    BASIC
+    + f""",
+    v AS (SELECT doc_id, issues, CAST(score AS DOUBLE) AS score, round(score, 6) > .5 AND len(issues) < 3 AS valid FROM q),
+    e AS (SELECT v.*, CAST(readability_score AS DOUBLE) AS readable, CASE WHEN valid THEN artifacts ELSE ['failed_basic_quality'] END AS extraction,
+                 CASE WHEN valid THEN greatest(0, score * (1 - len(artifacts) * .15) * structure) END AS extracted
+          FROM v JOIN ({ARTIFACTS}) a USING (doc_id) JOIN ({READABILITY}) r USING (doc_id)),
+    f AS (SELECT *, list_sort(list_distinct(list_concat(issues, extraction))) AS found, round(score * .4 + extracted * .3 + readable * .3, 6) AS o FROM e)
+    SELECT doc_id, {s_r6('score')} AS score, {s_r6('extracted')} AS extraction_score, {s_r6('readable')} AS readability_score, {s_r6('o')} AS overall_score,
+           CASE WHEN o >= .8 THEN 'excellent' WHEN o >= .6 THEN 'good' WHEN o >= .4 THEN 'fair' WHEN o IS NOT NULL THEN 'poor' END AS rating,
+           o > .4 AS usable, o > .5 AS recommended_for_summarization, o > .6 AS recommended_for_chat, array_to_string(found, '|') AS all_issues,
+           CASE WHEN o IS NOT NULL THEN {s_advice(ADVICE)} END AS recommendations, {s_advice(SUGGESTED)} AS suggestions,
+           CASE WHEN o IS NULL THEN 'error' ELSE 'success' END AS processing_status
+    FROM f
+    """,
+)
 def comprehensive_quality(docs: DataFrame) -> DataFrame:
     found = quality.comprehensive(docs.select("doc_id", "text"))
     return found.select(
         "doc_id",
-        "score",
-        "extraction_score",
-        "readability_score",
-        "overall_score",
+        *[r6(F.col(x)).alias(x) for x in ("score", "extraction_score", "readability_score", "overall_score")],
         "rating",
         "usable",
         "recommended_for_summarization",
         "recommended_for_chat",
-        "all_issues",
-        "recommendations",
-        quality.suggestions(F.col("all_issues")).alias("suggestions"),
+        joined(F.col("all_issues")).alias("all_issues"),
+        joined(F.col("recommendations")).alias("recommendations"),
+        joined(quality.suggestions(F.col("all_issues"))).alias("suggestions"),
         "processing_status",
     )
 
 
-@on("documents", "source_specific_quality")
+@on(
+    "documents",
+    "source_specific_quality",
+    rf"""
+    WITH t AS (SELECT doc_id, text, {s_ascii('text')} AS a, len({s_words('text')}) AS n_words, {LOWER} AS lows, len({s_bare('text', lx.QUALITY_PUNCTUATION)}) AS n_bare FROM documents),
+    i AS (SELECT *, list_filter([CASE WHEN regexp_matches(text, {pattern(r"\w[A-Z][a-z]+[A-Z]")}) THEN 'column_merge_issues' END,
+                        CASE WHEN regexp_matches(a, '\b[A-Z]{{3,}}\b.*\b[A-Z]{{3,}}\b') THEN 'font_size_artifacts' END,
+                        CASE WHEN (length(text) - length(replace(text, 'http', ''))) / 4 > n_words * .05 THEN 'excessive_hyperlinks' END], lambda x: x IS NOT NULL) AS pdf,
+                 list_filter([CASE WHEN regexp_matches(a, '\b[Il1|]{{2,}}\b') THEN 'character_confusion' END, CASE WHEN regexp_matches(a, '\brn\b') THEN 'rn_m_confusion' END,
+                        CASE WHEN regexp_matches(a, '\bvv\b') THEN 'vv_w_confusion' END, CASE WHEN regexp_matches(a, '\b[O0]{{2,}}\b') THEN 'o_zero_confusion' END,
+                        CASE WHEN {s_count('a', chr(92) + 'b[A-Za-z0-9_]' + chr(92) + 'b')} > n_words * .15 THEN 'excessive_single_characters' END,
+                        CASE WHEN len(list_filter(lows, lambda w: length(w) > 2 AND regexp_matches(w, '[^\p{{L}}]'))) > len(lows) * .2 THEN 'suspicious_character_sequences' END],
+                        lambda x: x IS NOT NULL) AS ocr,
+                 {s_count('a', chr(92) + 'b[A-Za-z0-9_]' + chr(92) + 'b')} + {s_count('text', '[Il1|]{2,}')} + {s_count('text', r"[^\w\s.,!?؟،؛]")} AS odd FROM t)
+    SELECT doc_id, array_to_string(pdf, '|') AS pdf_issues, array_to_string(ocr, '|') AS ocr_issues,
+           {s_r6('CASE WHEN n_bare = 0 THEN 0 ELSE greatest(0, 1 - odd / n_bare) END')} AS ocr_confidence, {s_r6('greatest(0, 1 - len(pdf) * .2)')} AS pdf_specific_score FROM i
+    """,
+)
 def source_specific_quality(docs: DataFrame) -> DataFrame:
     """Checks of texts that come from PDF files or from images."""
     text = F.col("text")
-    docs = docs.select("doc_id", quality.pdf_issues(text).alias("pdf_issues"), quality.ocr_issues(text).alias("ocr_issues"), quality.ocr_confidence(text).alias("ocr_confidence"))
-    return docs.withColumn("pdf_specific_score", F.greatest(F.lit(0.0), 1.0 - F.size("pdf_issues") * 0.2))
+    docs = docs.select("doc_id", quality.pdf_issues(text).alias("pdf"), quality.ocr_issues(text).alias("ocr"), quality.ocr_confidence(text).alias("c"))
+    score = F.greatest(F.lit(0.0), 1.0 - F.size("pdf") * 0.2)
+    return docs.select(
+        "doc_id",
+        joined(F.col("pdf")).alias("pdf_issues"),
+        joined(F.col("ocr")).alias("ocr_issues"),
+        r6(F.col("c")).alias("ocr_confidence"),
+        r6(score).alias("pdf_specific_score"),
+    )
 
 
 @on("documents", "cleaner_quality")
