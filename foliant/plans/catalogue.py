@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from foliant.plans import classes, cleaning, extracts, languages, scores, served, structure, tables
+from foliant.plans import classes, cleaning, extracts, languages, profiles, scores, served, structure, tables
 from foliant.plans.registry import QUERIES, SQL, Query
 
-MODULES = (served, languages, classes, cleaning, scores, tables, extracts, structure)
+MODULES = (served, languages, classes, cleaning, scores, tables, extracts, structure, profiles)
 
 
 def queries() -> dict[str, Query]:

@@ -228,17 +228,6 @@ def entity_lists(docs: DataFrame) -> DataFrame:
     )
 
 
-@on("documents", "analysis")
-def analysis(docs: DataFrame) -> DataFrame:
-    found = documents.analyse(docs.select("doc_id", "text"))
-    return found.drop("text")
-
-
-@on("documents", "metadata")
-def metadata(docs: DataFrame) -> DataFrame:
-    return documents.metadata(docs.select("doc_id", "text")).drop("text")
-
-
 @on(
     "documents",
     "batch_summary",

@@ -156,7 +156,7 @@ def lang_section(docs: DataFrame) -> DataFrame:
     f"""
     WITH p AS (SELECT *, CASE WHEN t = 0 THEN 'unknown' WHEN a / t > .3 THEN 'arabic' WHEN c > 0 OR (c + l) / t > .7 THEN 'french' ELSE 'unknown' END AS p FROM ({VISIBLE}))
     SELECT doc_id, p AS primary_language,
-           concat_ws('|', CASE WHEN p <> 'arabic' AND a / t > .1 THEN 'arabic' END, CASE WHEN p <> 'french' AND (c + l) / t > .1 THEN 'french' END) AS secondary_languages,
+           concat_ws('|', CASE WHEN p <> 'arabic' AND a / nullif(t, 0) > .1 THEN 'arabic' END, CASE WHEN p <> 'french' AND (c + l) / nullif(t, 0) > .1 THEN 'french' END) AS secondary_languages,
            {s_r6('a / nullif(t, 0)')} AS arabic_ratio, {s_r6('(c + l) / nullif(t, 0)')} AS french_ratio, {s_r6('1 - a / nullif(t, 0) - (c + l) / nullif(t, 0)')} AS other_ratio
     FROM p
     """,

@@ -14,8 +14,11 @@ FAULTS = (
     "•• - *\n-- puce", "caractÃ©re cassÃ¡ â€™ ici", "Il1 ll| 1I rn vv OO 0O0", "sigleSNCF et motMajuscule dansLaPhrase", "ABC suivi de DEF puis GHI",
     "http://a.fr http://b.fr http://c.fr", "aaaaaa bbbb!!!!! cccccccc ....... éééééé", "x y 7 é — « » …", "12ab c3po r2d2 4x4 99z", "1234567890 9876 %%% $$$ ###",
     "THE SAME LINE. The same line. the same line! The very same line, the same line.", "و قال النقل العمومي. هل وصل؟", "Première partie.\n\nDeuxième partie.",
+    "Texte adopté le 14/07/2021 par le conseil, avec une entrée en vigueur au 3 février 2022 ou au 05.06.2022; fait le 02-11-2020.",
+    "Le 31/31/2020 n'est pas une date, le 30 février 2021 non plus; approuvé le 12 DÉCEMBRE 2019 puis le 1 mars 2020.",
+    "Transport routier: transports, routes, véhicules et autoroutes; la sécurité du transport, la réglementation, le port et la gare. Le marché, le marché, le marché.",
 )
-QUERIES = ["comprehensive_quality", "source_specific_quality", "ocr_clean", "greedy_dedup"]
+QUERIES = ["comprehensive_quality", "source_specific_quality", "ocr_clean", "greedy_dedup", "metadata", "analysis"]
 
 
 @pytest.fixture(scope="module")
@@ -44,5 +47,7 @@ def test_planted_texts_have_the_faults(spark, planted):
     rows = catalogue.queries()["source_specific_quality"](spark, planted).collect()
     assert {x for r in rows for x in r.pdf_issues.split("|")} == {"", "column_merge_issues", "font_size_artifacts", "excessive_hyperlinks"}
     assert len({x for r in rows for x in r.ocr_issues.split("|")}) == 7
+    rows = catalogue.queries()["metadata"](spark, planted).collect()
+    assert all(len({r[c] for r in rows}) > 1 for c in ("approval_date", "effective_date", "text_creation_date", "keywords"))
     rows = catalogue.queries()["greedy_dedup"](spark, planted).collect()
     assert any(r.n_kept < r.n_sentences for r in rows)
