@@ -276,14 +276,15 @@ def clean_standard(text: Column) -> Column:
     return F.array_join(F.transform(F.filter(cleaned, lambda x: x["empty"] | (x["line"] != "")), lambda x: x["line"]), "\n")
 
 
-def clean_aggressive(text: Column, language: str = "mixed") -> Column:
-    """Only lines of some length, mostly of letters, survive."""
+def survives(line: Column) -> Column:
+    """Whether the hard level keeps a line: five characters or more, no noise, at most half of it marks."""
+    marks = F.length(line) - F.length(F.translate(line, lx.PUNCTUATION, ""))
+    return (line != "") & ~is_noise(line) & (F.length(line) >= 5) & (marks <= F.length(line) * 0.5)
 
-    def keep(s: Column) -> Column:
-        marks = F.length(s) - F.length(F.translate(s, lx.PUNCTUATION, ""))
-        return (s != "") & ~is_noise(s) & (F.length(s) >= 5) & (marks <= F.length(s) * 0.5)
 
-    cleaned = F.transform(F.filter(_lines(text), keep), lambda s: clean_line_hard(s, language))
+def clean_aggressive(text: Column, language: str = "mixed") -> Column:
+    """Only lines of some length, mostly of letters, survive."""
+    cleaned = F.transform(F.filter(_lines(text), survives), lambda s: clean_line_hard(s, language))
     return F.array_join(F.filter(cleaned, lambda s: F.length(s) >= 3), "\n")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from foliant.functions import lexicons as lx
 from foliant.functions import text as tx
 from foliant.operators import documents
-from foliant.plans.registry import BLANKS, joined, n, on, pattern, r6, s_bare, s_long, s_pieces, s_r6, s_sentences, s_strip, s_words
+from foliant.plans.registry import BLANKS, joined, n, on, pattern, q, r6, s_bare, s_long, s_pieces, s_r6, s_sentences, s_strip, s_words
 
 
 @on("documents", "light_clean", r"SELECT doc_id, regexp_replace(text, '\s+', ' ', 'g') AS cleaned FROM documents")
@@ -72,6 +72,121 @@ def clean_full(docs: DataFrame) -> DataFrame:
     return held.withColumn("for_summary", tx.clean_for_summary(F.col("cleaned")))
 
 
+def s_subs(t: str, *steps: tuple[str, str]) -> str:
+    """Replacements of patterns one after the other; groups are named as in the library's."""
+    for found, put in steps:
+        t = f"regexp_replace({t}, {pattern(found)}, {q(put.replace('$', chr(92)))}, 'g')"
+    return t
+
+
+def s_starts(t: str, patterns) -> str:
+    return f"regexp_matches({t}, {pattern('|'.join('^(?:' + p.removeprefix('^') + ')' for p in patterns))})"
+
+
+LINES = f"list_transform(string_split(text, chr(10)), lambda s: {s_strip('s')})"
+UPPER_FR = lx.ACCENTED_FR[len(lx.ACCENTED_FR) // 2 :]
+LINE = s_strip(
+    s_subs(
+        "s", (r"\s+([.!?;:,])", "$1"), (rf"([.!?])\s*([A-Z{UPPER_FR}؀-ۿ])", "$1 $2"), (r"[.]{3,}", "..."), ("[-]{3,}", "---"), ('["„]', '"'),
+        ("['`´]", "'"), (r"\s[^\w\s]\s", " "), (r"\s+", " "),
+    )
+)
+
+
+@on(
+    "documents",
+    "clean_standard",
+    f"""
+    WITH l AS (SELECT doc_id, list_filter({LINES}, lambda s: s = '' OR NOT {s_starts('s', lx.NOISE_LINES)}) AS ls FROM documents)
+    SELECT doc_id, array_to_string(list_filter(list_transform(ls, lambda s: CASE WHEN s = '' THEN '' ELSE nullif({LINE}, '') END), lambda s: s IS NOT NULL), chr(10)) AS cleaned FROM l
+    """,
+)
+def clean_standard(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", tx.clean_standard(F.col("text")).alias("cleaned"))
+
+
+MARKS = f"(length(s) - length(translate(s, {q(lx.PUNCTUATION)}, '')))"
+
+
+@on(
+    "documents",
+    "line_filters",
+    f"""
+    WITH l AS (SELECT doc_id, {LINES} AS ls FROM documents)
+    SELECT doc_id, {s_long('len(ls)')} AS n_lines, {s_long(f"len(list_filter(ls, lambda s: {s_starts('s', lx.NOISE_LINES)}))")} AS n_noise,
+           {s_long(f"len(list_filter(ls, lambda s: length(s) >= 5 AND {MARKS} <= length(s) * .5 AND NOT {s_starts('s', lx.NOISE_LINES)}))")} AS n_surviving FROM l
+    """,
+)
+def line_filters(docs: DataFrame) -> DataFrame:
+    lines = F.transform(F.split("text", "\n"), tx.strip)
+    docs = docs.select("doc_id", lines.alias("ls"))
+    noise, kept = F.filter("ls", tx.is_noise), F.filter("ls", tx.survives)
+    return docs.select("doc_id", n(F.size("ls")).alias("n_lines"), n(F.size(noise)).alias("n_noise"), n(F.size(kept)).alias("n_surviving"))
+
+
+def s_fixed(t: str) -> str:
+    for broken, right in lx.MOJIBAKE:
+        t = f"replace({t}, {q(broken)}, {q(right)})"
+    return t
+
+
+BROKEN = {"e": "Ã©", "a ": "Ã ", "o": "Ã´", "'": "â€™"}
+
+
+@on(
+    "documents",
+    "fix_encoding",
+    f"""
+    WITH b AS (SELECT doc_id, {'replace(' * len(BROKEN)}text{''.join(f", {q(a)}, {q(b)})" for a, b in BROKEN.items())} AS t FROM documents)
+    SELECT doc_id, {s_fixed('t')} AS fixed FROM b
+    """,
+)
+def fix_encoding(docs: DataFrame) -> DataFrame:
+    """Texts with some letters broken as a wrong decoding does, put right."""
+    text = F.col("text")
+    for good, broken in BROKEN.items():
+        text = F.replace(text, F.lit(good), F.lit(broken))
+    return docs.select("doc_id", tx.fix_encoding(text).alias("fixed"))
+
+
+#: Latin letters and marks, and the Arabic ones that stand for them in texts made for the Arabic steps.
+FROM_LATIN, TO_ARABIC = "aeiounlrstdmph,;?", "اإأآىوئلرستدهـ،؛؟"
+ARABISED = f"translate(replace(lower(text), 'the', 'ال'), {q(FROM_LATIN)}, {q(TO_ARABIC)})"
+
+
+def arabised(text):
+    return F.translate(F.replace(F.lower(text), F.lit("the"), F.lit("ال")), FROM_LATIN, TO_ARABIC)
+
+
+@on("documents", "fold_arabic", f"SELECT doc_id, translate({ARABISED}, 'إأآىئه،؛؟ـ', 'ااايية,;?') AS folded FROM documents")
+def fold_arabic(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", tx.fold_arabic(arabised(F.col("text"))).alias("folded"))
+
+
+@on(
+    "documents",
+    "clean_arabic",
+    rf"""
+    WITH t AS (SELECT doc_id, {s_subs(ARABISED, (r"\s*([،؛؟])", "$1"), (r"([،؛؟])\s*", "$1 "))} AS t FROM documents),
+    p AS (SELECT doc_id, CASE WHEN len(regexp_extract_all(t, '[\x{{0600}}-\x{{06FF}}]')) / greatest(length(t), 1) > .3 THEN translate(t, '()', ')(') ELSE t END AS t FROM t)
+    SELECT doc_id, {s_subs("t", (r"(\w)\s+(ال)", "$1$2"), (r"(و)\s+(\w)", "$1$2"), (r"[\x{064B}-\x{0652}]", ""))} AS cleaned FROM p
+    """,
+)
+def clean_arabic(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", tx.clean_arabic(arabised(F.col("text")), drop_diacritics=True).alias("cleaned"))
+
+
+FRENCH = s_subs(
+    "text", (r"(\w)\s*['`´]\s*(\w)", "$1'$2"), (r"<<\s*", "« "), (r"\s*>>", " »"), (r"\s*([;:!?])", " $1"), (r"([;:!?])\s*", "$1 "),
+    (r"(^|[^\w])([A-Z])\.\s*([A-Z])\.\s*([A-Z])", "$1$2.$3.$4"), *[(rf"(?i)(^|[^\w]){e}'\s*", f"$1{e}'") for e in lx.ELISIONS],
+)
+
+
+@on("documents", "clean_french", f"SELECT doc_id, {FRENCH} AS cleaned FROM documents")
+def clean_french(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", tx.clean_french(F.col("text")).alias("cleaned"))
+
+
 OCR_DROPPED = r"[^\w\s؀-ۿÀ-ÿ.,;:!?()\-'\"]+"
 WORDLIKE = r"[\p{L}\p{M}\p{N}_]"
 

@@ -13,12 +13,13 @@ FAULTS = (
     "a b c d e f g h i j k l m n o p", "un de la le si ou et il tu ne se ce", "mot     espacé      beaucoup", "page 12 © 2020, 3/14", "| | cellule |\t\t\t\tvide",
     "•• - *\n-- puce", "caractÃ©re cassÃ¡ â€™ ici", "Il1 ll| 1I rn vv OO 0O0", "sigleSNCF et motMajuscule dansLaPhrase", "ABC suivi de DEF puis GHI",
     "http://a.fr http://b.fr http://c.fr", "aaaaaa bbbb!!!!! cccccccc ....... éééééé", "x y 7 é — « » …", "12ab c3po r2d2 4x4 99z", "1234567890 9876 %%% $$$ ###",
-    "THE SAME LINE. The same line. the same line! The very same line, the same line.", "و قال النقل العمومي. هل وصل؟", "Première partie.\n\nDeuxième partie.",
+    "THE SAME LINE. The same line. the same line! The very same line, the same line.", "و قال النقل العمومي. هل وصل؟", "Voici l' arrêté d 'un maire , qu' il signe:<< texte >>ici;A. B.C dit !Oui", "....\n---\n| | |\n+-|\n===\n!!!! a.\n____",
+    "Première partie.\n\nDeuxième partie.",
     "Texte adopté le 14/07/2021 par le conseil, avec une entrée en vigueur au 3 février 2022 ou au 05.06.2022; fait le 02-11-2020.",
     "Le 31/31/2020 n'est pas une date, le 30 février 2021 non plus; approuvé le 12 DÉCEMBRE 2019 puis le 1 mars 2020.",
     "Transport routier: transports, routes, véhicules et autoroutes; la sécurité du transport, la réglementation, le port et la gare. Le marché, le marché, le marché.",
 )
-QUERIES = ["comprehensive_quality", "source_specific_quality", "ocr_clean", "greedy_dedup", "metadata", "analysis"]
+QUERIES = ["comprehensive_quality", "source_specific_quality", "ocr_clean", "greedy_dedup", "metadata", "analysis", "clean_standard", "line_filters", "clean_french", "clean_arabic"]
 
 
 @pytest.fixture(scope="module")
