@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -96,16 +98,28 @@ def status(text: Column) -> Column:
     return found.otherwise("unknown")
 
 
+#: Terms of a user's lexicon that are broadcast at once; more of them go in blocks of this size.
+TERM_BLOCK = 20_000
+
+
 def classify_with(docs: DataFrame, lexicon: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The best class of each document by a user's lexicon (class, ord, term, weight), as a broadcast join.
+    """The best class of each document by a user's lexicon (class, ord, term, weight).
 
-    Ties go to the lower ``ord``; documents without any term get no row.
+    Terms are looked for anywhere in a text, so there is no key to join on: each block of terms is broadcast, and the scores of
+    all blocks are added. Ties go to the lower ``ord``; documents without any term get no row.
     """
-    terms = F.broadcast(lexicon.select("class", "ord", F.lower("term").alias("term"), "weight"))
+    terms = lexicon.select("class", "ord", F.lower("term").alias("term"), "weight")
+    n_blocks = max(1, -(-terms.count() // TERM_BLOCK))
     text = F.lower(F.col(text_col))
     n = (F.length(text) - F.length(F.replace(text, F.col("term"), F.lit("")))) / F.length("term")
-    hits = docs.select(id_col, text_col).join(terms, F.contains(text, F.col("term")))
-    scores = hits.groupBy(id_col, "class", "ord").agg(F.sum(n * F.col("weight")).alias("score"))
+
+    def part(block: int) -> DataFrame:
+        mine = terms if n_blocks == 1 else terms.where(F.pmod(F.xxhash64("term"), F.lit(n_blocks)) == block)
+        hits = docs.select(id_col, text_col).join(F.broadcast(mine), F.contains(text, F.col("term")))
+        return hits.groupBy(id_col, "class", "ord").agg(F.sum(n * F.col("weight")).alias("score"))
+
+    parts = reduce(DataFrame.unionByName, [part(block) for block in range(n_blocks)])
+    scores = parts if n_blocks == 1 else parts.groupBy(id_col, "class", "ord").agg(F.sum("score").alias("score"))
     best = F.max_by(F.struct("class", "score"), F.struct(F.col("score"), -F.col("ord")))
     return scores.groupBy(id_col).agg(best.alias("best")).select(id_col, "best.class", "best.score")
 

@@ -245,3 +245,13 @@ def test_analysis_of_odd_texts(spark):
     report = documents.analyse(docs.where("doc_id = 3")).select(documents.report_text().alias("r")).first().r
     assert "Langue: Français" in report and "• ministre" in report
     assert documents.metadata(docs).count() == 3
+
+
+def test_a_lexicon_in_blocks_gives_the_same_classes(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "la route et le port"), (2, "port port route"), (3, "rien")], "doc_id long, text string")
+    terms = [("sea", 0, "Port", 1), ("land", 1, "route", 1), ("land", 1, "rail", 2), ("sea", 0, "navire", 1)]
+    lexicon = spark.createDataFrame(terms, "class string, ord int, term string, weight int")
+    whole = sorted(classify.classify_with(docs, lexicon).collect())
+    assert [tuple(r) for r in whole] == [(1, "sea", 1.0), (2, "sea", 2.0)]
+    monkeypatch.setattr(classify, "TERM_BLOCK", 1)
+    assert sorted(classify.classify_with(docs, lexicon).collect()) == whole
