@@ -1,7 +1,8 @@
 """Quality, readability and confidence scores.
 
 The composite checks take the statistics they need as columns, so that a caller computes each once:
-``with_statistics`` adds them to a DataFrame, and the scores are then plain arithmetic on them.
+``with_statistics`` adds them to a DataFrame, and the scores are then plain arithmetic on them. Fixed steps are summed as
+whole tenths or hundredths, so that they are exact.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from foliant.functions.text import (
     bare_words,
     count,
     mean,
+    rounded,
     rx,
     sentences,
     sentences_by_dot,
@@ -88,9 +90,9 @@ def basic_issues() -> Column:
 
 def basic_score(n_issues: Column) -> Column:
     c = F.col
-    alpha = F.when(c("alpha_ratio") < 0.5, -0.2).when(c("alpha_ratio") > 0.9, 0.1).otherwise(0.0)
-    vocabulary = F.when(c("vocabulary_ratio") > 0.5, 0.1).when(c("vocabulary_ratio") < 0.2, -0.1).otherwise(0.0)
-    return F.when(c("char_count") == 0, 0.0).otherwise(clamp(1.0 - n_issues * 0.15 + alpha + vocabulary))
+    alpha = F.when(c("alpha_ratio") < 0.5, -20).when(c("alpha_ratio") > 0.9, 10).otherwise(0)
+    vocabulary = F.when(c("vocabulary_ratio") > 0.5, 10).when(c("vocabulary_ratio") < 0.2, -10).otherwise(0)
+    return F.when(c("char_count") == 0, 0.0).otherwise(clamp((100 - n_issues * 15 + alpha + vocabulary) / 100))
 
 
 def basic_quality(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -162,7 +164,7 @@ def extraction_quality(checked: DataFrame, text_col: str = "text", source_type:
             "structure_score": F.when(F.col("valid"), structure_score(text)),
         }
     )
-    score = F.col("score") * (1 - F.size("extraction_issues") * 0.15) * F.col("structure_score")
+    score = F.col("score") * ((100 - F.size("extraction_issues") * 15) / 100) * F.col("structure_score")
     checked = checked.withColumn("extraction_score", F.when(F.col("valid"), F.greatest(F.lit(0.0), score)))
     valid = (F.col("extraction_score") > 0.6) & (F.size("extraction_issues") < 3)
     return checked.withColumn("extraction_valid", F.when(F.col("valid"), valid))
@@ -214,7 +216,8 @@ def arabic_ratios(text: Column, found: Column) -> tuple[Column, Column]:
 
 
 def _band(value: Column) -> Column:
-    return F.when(value.between(0.3, 0.7), 0.1).when((value < 0.2) | (value > 0.8), -0.1).otherwise(0.0)
+    """In tenths."""
+    return F.when(value.between(0.3, 0.7), 1).when((value < 0.2) | (value > 0.8), -1).otherwise(0)
 
 
 def readability(docs: DataFrame, text_col: str = "text", language: str = "auto") -> DataFrame:
@@ -242,9 +245,7 @@ def readability(docs: DataFrame, text_col: str = "text", language: str = "auto")
         }
     )
     score = (
-        F.lit(0.7)
-        + _band(F.col("vocabulary_diversity"))
-        + _band(F.col("sentence_complexity"))
+        (7 + _band(F.col("vocabulary_diversity")) + _band(F.col("sentence_complexity"))) / 10
         + (F.col("repetition_score") - 0.5) * 0.2
         + F.when(F.col("french_stop_word_ratio") > 0.15, 0.1).otherwise(0.0)
         + F.when(F.col("french_accent_ratio") > 0.02, 0.05).otherwise(0.0)
@@ -294,11 +295,11 @@ def suggestions(issues: Column) -> Column:
 
 
 def comprehensive(docs: DataFrame, text_col: str = "text", source_type: str = "unknown", language: str = "auto") -> DataFrame:
-    """All checks, the overall score and its gates. A text that isn't valid has no score and the status ``error``."""
+    """All checks, the overall score to six places and its gates. A text that isn't valid has no score and the status ``error``."""
     checked = extraction_quality(basic_quality(docs, text_col), text_col, source_type)
     checked = readability(checked.drop("language") if "language" in docs.columns else checked, text_col, language)
     overall = F.col("score") * 0.4 + F.col("extraction_score") * 0.3 + F.col("readability_score") * 0.3
-    checked = checked.withColumn("overall_score", overall).withColumn("all_issues", F.sort_array(F.array_distinct(F.concat("issues", "extraction_issues"))))
+    checked = checked.withColumn("overall_score", rounded(overall)).withColumn("all_issues", F.sort_array(F.array_distinct(F.concat("issues", "extraction_issues"))))
     score = F.col("overall_score")
     return checked.withColumns(
         {

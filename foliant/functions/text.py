@@ -57,6 +57,11 @@ def once(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def rounded(value: Column) -> Column:
+    """A double to six places, as DuckDB rounds it: the millionths are a rounded product, and halves of those go away from zero."""
+    return F.round(value * 1e6) / 1e6
+
+
 def mean(values: Column) -> Column:
     total = F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
     return F.when(F.size(values) > 0, total / F.size(values))

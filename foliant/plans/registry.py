@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliant.functions.text import rounded
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -56,7 +58,7 @@ def n(value: Column) -> Column:
 
 
 def r6(value: Column) -> Column:
-    return F.round(value.cast("double"), 6)
+    return rounded(value.cast("double"))
 
 
 def joined(values: Column) -> Column:

@@ -4,8 +4,10 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from foliant.plans import catalogue
+from foliant.plans.registry import r6
 from tests.compare import same_rows
 
 GOOD = "Le marché public couvre les travaux de la route nationale. Les offres sont remises avant la date fixée. La commission ouvre les plis en séance publique."
@@ -52,3 +54,27 @@ def test_planted_texts_have_the_faults(spark, planted):
     assert all(len({r[c] for r in rows}) > 1 for c in ("approval_date", "effective_date", "text_creation_date", "keywords"))
     rows = catalogue.queries()["greedy_dedup"](spark, planted).collect()
     assert any(r.n_kept < r.n_sentences for r in rows)
+
+
+@pytest.mark.parametrize("name", ["comprehensive_quality", "readability_score", "basic_quality"])
+def test_scores_halfway_between_two_millionths(spark, tmp_path, name):
+    """Of 128 or 640 words the most frequent one takes a share whose fifth has a 5 at the seventh place."""
+    texts = []
+    for n in (128, 640):
+        for top in range(1, 60):
+            ws = ["le"] * top + [("été" if i % 9 == 0 else "mot") + "".join(chr(97 + int(d)) for d in str(i)) for i in range(n - top)]
+            texts.append(". ".join(" ".join(ws[i : i + 5 + top % 13]) for i in range(0, n, 5 + top % 13)) + "." + "\n\n" * (top % 2) + "  |  |" * (top % 3))
+    rows = [(i, text, "fr", "web", len(text)) for i, text in enumerate(texts)]
+    folder = str(tmp_path)
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    same_rows(catalogue.queries()[name](spark, folder), catalogue.oracle_sql()[name], folder, duckdb.connect())
+
+
+def test_rounding_is_that_of_the_sql(spark):
+    draw = random.Random(6)
+    values = [draw.randrange(1, 20_000_000) / 1e7 for _ in range(3000)] + [draw.randrange(5, 10**7, 10) / 1e7 + draw.choice((-1, 1)) * 2.0**-53 for _ in range(3000)]
+    got = [r.x for r in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i long, v double").orderBy("i").select(r6(F.col("v")).alias("x")).collect()]
+    connection = duckdb.connect()
+    connection.execute("CREATE TABLE t (i BIGINT, v DOUBLE)")
+    connection.executemany("INSERT INTO t VALUES (?, ?)", list(enumerate(values)))
+    assert got == [x for (x,) in connection.sql("SELECT round(v, 6) FROM t ORDER BY i").fetchall()]
