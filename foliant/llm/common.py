@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import string
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,6 +62,14 @@ def small_batches(spark: SparkSession, rows: int = 2_000, size: int = 16 << 20)
             spark.conf.set(key, str(most))
 
 
+def release() -> None:
+    """Hand memory that this process has freed back to the machine: an idle Python worker keeps it beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete the files of materialised frames that nothing will read again."""
     for df in frames:

@@ -31,16 +31,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import materialise, small_batches
+from foliant.llm.common import materialise, release, small_batches
 
 ORDER = 3
 FOLDS = 5
 TRAIN_BYTES = 2_000_000
-SLOTS = 1 << 20
+SLOTS = 1 << 19
 #: Labels that are learned at most.
 MOST_LANGUAGES = 500
-#: Bytes that are coded at once.
-PIECE = 1 << 20
+#: Bytes whose costs are summed at once.
+PIECE = 1 << 18
+#: Bytes that are coded at once: coding takes some hundred bytes for each context that isn't in the table yet.
+LOOKUP = 1 << 16
+#: Texts, and bytes of them, that a worker gets at once.
+BATCH = (500, 4 << 20)
 #: The share of a language's training texts whose bits per byte are at most its ``usual`` ones.
 QUANTILE = 0.99
 
@@ -101,7 +105,7 @@ class LanguageModel:
 
     def _prepare(self) -> None:
         slots = SLOTS
-        while slots > 4096 and slots * len(self.names) > 8 * SLOTS:
+        while slots > 4096 and slots * len(self.names) > 16 * SLOTS:
             slots //= 2
         self.shift = np.uint32(33 - slots.bit_length())
         self.keys = np.zeros(slots, np.uint32)
@@ -129,9 +133,12 @@ class LanguageModel:
         """Bits of each text under each language. ``data``: the texts' bytes, each after ORDER zero bytes."""
         bits = np.zeros((len(ends), len(self.names)))
         starts = np.concatenate([[0], ends[:-1]])
+        cost = np.empty((max(0, min(PIECE, len(data) - ORDER)), len(self.names)), np.float32)
         for low in range(0, len(data) - ORDER, PIECE):
             high = min(low + PIECE, len(data) - ORDER)
-            cost = self.byte_costs(context_codes(data[low : high + ORDER]))
+            for a in range(low, high, LOOKUP):
+                b = min(a + LOOKUP, high)
+                cost[a - low : b - low] = self.byte_costs(context_codes(data[a : b + ORDER]))
             # The cost at i is that of byte i + ORDER: those of text t are at starts[t] .. ends[t] - ORDER.
             first = np.searchsorted(ends - ORDER, low, "right")
             last = np.searchsorted(starts, high, "left")
@@ -219,12 +226,13 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", out:
     nothing = F.struct(F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("bits_per_byte"))
     if not model.names:
         return docs.withColumn(out, nothing.cast(kind))
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, *BATCH)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf(kind)
     def predict(texts: pa.Array) -> pa.Array:
         names, scores, rates = shared.value.classify(texts)
+        release()
         columns = [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rates, pa.float64())]
         return pa.StructArray.from_arrays(columns, ["lang_pred", "score", "bits_per_byte"])
 

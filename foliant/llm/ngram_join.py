@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from foliant.llm.common import bounded, discard, fresh_names, materialise, small_batches
+from foliant.llm.common import bounded, discard, fresh_names, materialise, release, small_batches
 from foliant.llm.components import connected_components
 
 SHINGLE = 5
@@ -74,6 +74,23 @@ class _WordHashes(dict):
 _WORDS = _WordHashes()
 
 
+def forget() -> None:
+    _WORDS.clear()
+    release()
+
+
+def forgetting(run):
+    """``run`` for a worker that keeps neither words nor freed memory once a task has ended: it may idle beside later stages."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            forget()
+
+    return task
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * _MIX[0]
     x = (x ^ (x >> np.uint64(27))) * _MIX[1]
@@ -161,7 +178,7 @@ def hot_shingles(docs: DataFrame, k: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([_longs(found), pa.array(n)], ["shingle", "n"])
 
     part = docs.where(F.pmod(F.xxhash64("text"), F.lit(HOT_PART)) == 0).select("text").distinct()
-    counted = part.mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    counted = part.mapInArrow(forgetting(run), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     top = counted.where(F.col("n") >= HOT_LEAST).orderBy(F.col("n").desc()).limit(HOT_MOST).select("shingle").toArrow()
     return np.sort(top.column(0).to_numpy().astype(np.int64).view(np.uint64))
 
@@ -235,7 +252,7 @@ def sign(docs: DataFrame, k: int, num: int, den: int, hot: np.ndarray = NONE) ->
         if found:
             yield from tied(found)
 
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, SIGNED)
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(forgetting(run), SIGNED)
 
 
 def _placed_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -273,7 +290,7 @@ def _placed_sets(docs: DataFrame, k: int) -> DataFrame:
             yield rows(held)
 
     held = docs.select("text", "member", "root", "blocks")
-    found = held.mapInArrow(run, "digest binary, root long, blocks int, shingles binary")
+    found = held.mapInArrow(forgetting(run), "digest binary, root long, blocks int, shingles binary")
     return found.withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
 
 
@@ -338,7 +355,7 @@ def _block_links(blocks: DataFrame, num: int, den: int) -> DataFrame:
                     right.append(names[b])
         yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
 
-    return blocks.mapInArrow(run, "a binary, b binary")
+    return blocks.mapInArrow(forgetting(run), "a binary, b binary")
 
 
 def ngram_components(

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import io
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -528,3 +529,25 @@ def test_line_dedup_of_rows_without_ids(spark):
     docs = spark.createDataFrame([(*r, "h", 1, 2, 3, 4) for r in rows], names)
     got = line_dedup.line_dedup(docs)
     assert Counter((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in got.collect()) == brute_lines(rows)
+
+
+def test_coding_takes_little_memory_whatever_turns_up(monkeypatch):
+    """Four languages, and texts whose contexts are all unseen: a worker codes them in far less than a hundred bytes for each."""
+    codes = np.unique(np.random.default_rng(3).integers(0, 1 << 32, 50_000, np.uint32))
+    model = language_id.LanguageModel({lang: language_id.ContextTree(codes, np.ones(len(codes))) for lang in ("de", "en", "es", "fr")})
+    text = np.random.default_rng(4).integers(0, 256, 1_500_000, np.uint8)
+    ends = np.array([1_000_000, 1_500_000])
+    model.byte_costs(codes[:1])
+    tracemalloc.start()
+    bits = model.code_lengths(text, ends)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 << 20
+    monkeypatch.setattr(language_id, "LOOKUP", 1 << 20)
+    model.shift = None
+    assert (model.code_lengths(text, ends) == bits).all()
+
+
+def test_a_task_forgets_its_words():
+    task = ngram_join.forgetting(lambda batches: (len(ngram_join.shingle_set(b, 5)) for b in batches))
+    assert list(task(["one two three four five six"])) == [2] and not ngram_join._WORDS
