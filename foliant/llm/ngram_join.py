@@ -49,8 +49,10 @@ SIMILARITY = (80, 100)
 #: A piece, two row blocks, holds about this many documents and this many shingles at most.
 PIECE_ROWS = 1024
 PIECE_SHINGLES = 4_000_000
-#: Signatures that a worker holds at once to tie equal ones.
-SIGNATURES_HELD = 2_000_000
+#: Signatures that a worker holds at once to tie equal ones: tying takes some hundred bytes for each.
+SIGNATURES_HELD = 500_000
+#: Words whose hashes a worker keeps, some hundred bytes for each.
+WORDS_HELD = 100_000
 #: Lists of ids up to this many rows are broadcast; longer ones are shuffled.
 BROADCAST_IDS = 500_000
 
@@ -65,7 +67,7 @@ _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= WORDS_HELD:
             self.clear()
         self[word] = found = xxhash.xxh3_64_intdigest(word)
         return found

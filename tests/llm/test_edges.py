@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -551,3 +552,30 @@ def test_coding_takes_little_memory_whatever_turns_up(monkeypatch):
 def test_a_task_forgets_its_words():
     task = ngram_join.forgetting(lambda batches: (len(ngram_join.shingle_set(b, 5)) for b in batches))
     assert list(task(["one two three four five six"])) == [2] and not ngram_join._WORDS
+
+
+def test_signing_takes_little_memory_however_many_signatures(spark, monkeypatch):
+    """A task with a million signatures and 400,000 words: a worker holds a bounded part of both at a time, and every text signs."""
+    runs = []
+    monkeypatch.setattr(ngram_join, "forgetting", lambda run: runs.append(run) or run)
+    ngram_join.sign(spark.createDataFrame([(1, "a")], "doc_id long, text string"), 5, 80, 100)
+    rng = np.random.default_rng(5)
+
+    def batches():
+        for low in range(0, 850, 50):
+            texts = [" ".join(map(str, rng.integers(0, 400_000, 2500))) for _ in range(50)]
+            ids = pa.array(range(low, low + 50), pa.int64())
+            yield pa.RecordBatch.from_arrays([ids, ids, pa.array(texts)], ["doc_id", "text_hash", "text"])
+
+    signed, named = 0, set()
+    ngram_join.forget()
+    tracemalloc.start()
+    for batch in runs[0](batches()):
+        signed += batch.num_rows - batch.column("sig").null_count
+        named.update(batch.column("doc_id").drop_null().to_pylist())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    ngram_join.forget()
+    assert named == set(range(850))
+    assert signed > 1_000_000
+    assert peak < 80 << 20
